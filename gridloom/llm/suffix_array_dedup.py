@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import window_kernel as wk
-from .common import materialised, text_bytes, with_row
+from .common import each_batch, materialised, text_bytes, with_row
 
 GRAM = 24
 #: Rows that a task gathers before it drops its own repeats.
@@ -234,6 +234,15 @@ def deduplicated(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text
     return out.mapInArrow(_cut(depth), "doc_id long, _row long, n_bytes long, n_removed long, kept_sha256 string, kept binary, spans array<struct<start:int,end:int>>")
 
 
+def kept_text(found: DataFrame) -> DataFrame:
+    """(doc_id, _row, text) of deduplicated rows: the kept bytes as text, without the bytes of characters that a cut went through."""
+
+    def over(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b["doc_id"], b["_row"], pa.array([x.decode("utf-8", "ignore") for x in b["kept"].to_pylist()], pa.string())], names=["doc_id", "_row", "text"])
+
+    return each_batch(found.select("doc_id", "_row", "kept"), over, "doc_id long, _row long, text string")
+
+
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """Operator 5 over all documents, windows of 100 bytes."""
     out = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
