@@ -1,0 +1,55 @@
+"""Every registered query with SQL against DuckDB on the smallest tables."""
+
+import datetime
+import decimal
+import glob
+import os
+
+import duckdb
+import pytest
+
+from gridloom import queries
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    c = duckdb.connect()
+    for p in glob.glob(f"{sf_dir}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    return c
+
+
+def _plain(v):
+    if isinstance(v, decimal.Decimal):
+        return float(v)
+    if isinstance(v, float):
+        return round(v, 5)
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None)
+    return v
+
+
+def _sorted(rows):
+    return sorted((tuple(map(_plain, r)) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, sf_dir, con, name):
+    df = queries.QUERIES[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    found = con.execute(queries.ORACLE_SQL[name])
+    own = [d[0] for d in found.description]
+    assert sorted(own) == columns
+    want = [[r[own.index(c)] for c in columns] for r in found.fetchall()]
+    assert _sorted([r[c] for c in columns] for r in df.collect()) == _sorted(want)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+def test_runs(spark, sf_dir, name):
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert df.columns and df.count() >= 0
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    plan = queries.filter_count(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderstatus)" in plan and "o_totalprice" not in plan

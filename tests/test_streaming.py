@@ -1,0 +1,29 @@
+from gridloom.operators import blocks
+from gridloom.streaming import events as streams
+
+
+def test_windows_agree_with_batch(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    batch = spark.read.parquet(path).selectExpr("* EXCEPT (ts)", "CAST(ts AS TIMESTAMP) AS ts")
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    live = raw.selectExpr("* EXCEPT (ts)", "CAST(ts AS TIMESTAMP) AS ts")
+    q = streams.windowed(live).writeStream.outputMode("complete").format("memory").queryName("windowed_events").start()
+    try:
+        q.processAllAvailable()
+        assert sorted(map(tuple, spark.table("windowed_events").collect())) == sorted(map(tuple, streams.windowed(batch).collect()))
+    finally:
+        q.stop()
+
+
+def test_uploads(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n2,y\n3,z\n")
+    q = streams.uploads(spark, str(tmp_path)).writeStream.format("memory").queryName("uploaded_cells").start()
+    try:
+        q.processAllAvailable()
+        (tmp_path / "b.csv").write_text("k;v\n1;2\n3;4\n")
+        q.processAllAvailable()
+        cells = spark.table("uploaded_cells")
+        assert cells.count() == 14
+        assert {r["file"] for r in blocks.tables(cells).select("file").collect()} == {"a.csv", "b.csv"}
+    finally:
+        q.stop()
