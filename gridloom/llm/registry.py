@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pivot_top_k, warc
+from . import license_scan, pivot_top_k, warc
 from .audio_features import op10_audio_features
 from .byte_bpe import op7_byte_bpe
 from .language_id import op4_language_id
@@ -14,6 +14,7 @@ from .suffix_array_dedup import op5_suffix_array_dedup
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_warc": warc.op2_warc,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_language_id": op4_language_id,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_pivot_top_k": pivot_top_k.op6_pivot_top_k,
@@ -25,5 +26,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
+    "op3_license_scan": license_scan.SQL,
     "op6_pivot_top_k": pivot_top_k.SQL,
 }

@@ -1,0 +1,39 @@
+import duckdb
+
+from gridloom.llm import license_scan as op
+
+
+def test_spellings_of_one_text(spark):
+    mit = op.TEXTS[0][1]
+    variants = [mit, mit.upper(), "Copyright (c) 2024 Someone\n\n" + mit, "  © 2020 A B\n" + mit.replace(" ", "   "), mit.replace('"', "“").replace(",", ";").replace("sublicense", "sub-licence"), "MIT License\n\n" + mit, "The MIT Licence (MIT)\nCopyright 1999 X. All rights reserved.\n" + mit]
+    other = [mit + " Not for evil.", mit[:-40], "", None, "MIT", "copyright 2020", "x" * 500_000]
+    df = spark.createDataFrame([(i, t, "l", "d") for i, t in enumerate(variants + other)], "doc_id long, text string, license string, digest string")
+    got = {r["doc_id"]: r["license"] for r in op.scan(df).collect()}
+    assert [got[i] for i in range(len(variants))] == ["MIT"] * len(variants)
+    assert [got[i] for i in range(len(variants), len(variants + other))] == [None] * len(other)
+
+
+def test_notices(spark):
+    text = "some prose\nReleased under the MIT License.\nmore\n  licensed under CC BY-NC 4.0!\nThis work is licensed under the GNU General Public Licence, version 3.\nLicensed under my own license.\nSPDX-License-Identifier: ISC"
+    df = spark.createDataFrame([(1, text), (None, "Released under the MIT License."), (2, "a"), (2, "a")], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["line"], x["license"]) for x in r["notices"]] for r in op.scan(df).collect()}
+    assert got == {1: [(2, "MIT"), (4, "CC-BY-NC-4.0"), (5, "GPL-3.0"), (7, "ISC")], None: [(1, "MIT")], 2: []}
+    assert op.scan(df).count() == 4
+
+
+def test_given_texts_and_ties(spark):
+    texts = spark.createDataFrame([("b", "Do what you like."), ("a", "do WHAT you like"), ("void", "!!")], "license string, text string")
+    df = spark.createDataFrame([(1, "Do what; you like"), (2, "")], "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in op.scan(df, texts).collect()} == {1: "a", 2: None}
+
+
+def test_query_and_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    df = op.op3_license_scan(spark, sf_dir)
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, con.execute(op.SQL).fetchall()))
+    assert df.where("n_notices > 0").count() > 0
+
+
+def test_empty(empty):
+    assert op.scan(empty).collect() == []
