@@ -25,16 +25,17 @@ ROUNDS = 3
 
 def _islands(cells: DataFrame, axis: str) -> DataFrame:
     """cells with their region split wherever the axis has a gap."""
-    lines = cells.select(*REGION, axis).distinct()
-    order = Window.partitionBy(*REGION).orderBy(axis)
-    starts = lines.withColumn("new", (F.col(axis) - F.lag(axis).over(order) > 1).cast("int"))
-    numbered = starts.withColumn("island", F.coalesce(F.sum("new").over(order), F.lit(0))).drop("new")
-    return cells.join(numbered, [*REGION, axis]).withColumn("region", F.concat("region", F.lit("."), F.format_string("%06d", "island"))).drop("island")
+    order = Window.partitionBy(*REGION).orderBy(axis, "col" if axis == "row" else "row")
+    gap = F.coalesce((F.col(axis) - F.lag(axis).over(order) > 1).cast("int"), F.lit(0))
+    island = F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return cells.withColumn("gap", gap).withColumn("region", F.concat("region", F.lit("."), F.format_string("%06d", island))).drop("gap")
 
 
 def regions(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Non-empty cells with the region that cuts along empty rows and columns leave them in."""
     out = cells.where(F.col("value").isNotNull() & (F.trim("value") != "")).withColumns({"sheet": F.coalesce("sheet", F.lit("")), "region": F.lit("")})
+    # a sheet's cells stay together through all cuts
+    out = out.repartition("file", "sheet")
     for _ in range(rounds):
         out = _islands(_islands(out, "row"), "col")
     return out

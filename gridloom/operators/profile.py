@@ -19,12 +19,15 @@ ID_NAME = r"^(id|code|ref|key|no)$|_(id|code|ref|no|num|key)$"
 ATOMIC = ("array", "map", "struct", "binary", "variant")
 
 
-def long_cells(df: DataFrame, row: Column | None = None) -> DataFrame:
-    """(column_name, position, dtype, row, value): every cell of the atomic columns as text."""
+COLUMN = ("table_name", "position")
+
+
+def long_cells(df: DataFrame, row: Column | None = None, name: str = "") -> DataFrame:
+    """(table_name, column_name, position, dtype, row, value): every cell of the atomic columns as text."""
     names = [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith(ATOMIC)]
     dtypes = dict(df.dtypes)
     cells = F.array(*(F.struct(F.lit(n).alias("column_name"), F.lit(i).alias("position"), F.lit(dtypes[n]).alias("dtype"), rendered(df, n).alias("value")) for i, n in enumerate(names)))
-    return df.select((row if row is not None else F.monotonically_increasing_id()).alias("row"), F.explode(cells).alias("c")).select("c.column_name", "c.position", "c.dtype", "row", "c.value")
+    return df.select((row if row is not None else F.monotonically_increasing_id()).alias("row"), F.explode(cells).alias("c")).select(F.lit(name).alias("table_name"), "c.column_name", "c.position", "c.dtype", "row", "c.value")
 
 
 def signature() -> Column:
@@ -52,23 +55,33 @@ def semantic_type() -> Column:
 
 
 def value_counts(cells: DataFrame) -> DataFrame:
-    """(column_name, position, dtype, value, n, first_row): a row per distinct value; all else is derived from these."""
-    return cells.groupBy("column_name", "position", "dtype", "value").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
+    """(table_name, column_name, position, dtype, value, n, first_row): a row per distinct value; all else is derived from these."""
+    return cells.groupBy("table_name", "column_name", "position", "dtype", "value").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
 
 
 def profile(df: DataFrame, row: Column | None = None) -> DataFrame:
-    """A row per atomic column: counts, bounds, samples, signature, tokens and semantic type.
+    """A row per atomic column: counts, bounds, samples, signature, tokens and semantic type."""
+    return profiled(long_cells(df, row)).drop("table_name")
+
+
+def profiles(tables: dict[str, DataFrame]) -> DataFrame:
+    """The profiles of all tables, in one pass over their cells."""
+    return profiled(reduce(DataFrame.unionByName, (long_cells(df, name=n) for n, df in tables.items())))
+
+
+def profiled(cells: DataFrame) -> DataFrame:
+    """Profiles of long cells.
 
-    Two shuffles whatever the number of columns: by (column, value) with map-side counting, then by column over
-    partial sums.  Null counts as a value of its own, never as a distinct one.
+    The shuffles are as many whatever the number of tables and columns: by (column, value) with map-side counting, then
+    by column over partial sums.  Null counts as a value of its own, never as a distinct one.
     """
-    counts = value_counts(long_cells(df, row))
+    counts = value_counts(cells)
     real = F.col("value").isNotNull()
     weigh = lambda test: F.coalesce(F.sum(F.when(real & test, F.col("n"))), F.lit(0))
     numeric = F.col("value").try_cast("double")
-    widths = counts.where(F.col("value").rlike(r"^\d+$")).groupBy("position", F.length("value").alias("width")).agg(F.sum("n").alias("rows"))
-    widest = widths.groupBy("position").agg(F.max(F.struct("rows", -F.col("width"))).alias("w"), F.sum("rows").alias("digits")).select("position", F.col("w.rows").alias("width_rows"), (-F.col("w.col2")).alias("width"), "digits")
-    out = counts.groupBy("column_name", "position", "dtype").agg(
+    widths = counts.where(F.col("value").rlike(r"^\d+$")).groupBy(*COLUMN, F.length("value").alias("width")).agg(F.sum("n").alias("rows"))
+    widest = widths.groupBy(*COLUMN).agg(F.max(F.struct("rows", -F.col("width"))).alias("w"), F.sum("rows").alias("digits")).select(*COLUMN, F.col("w.rows").alias("width_rows"), (-F.col("w.col2")).alias("width"), "digits")
+    out = counts.groupBy("table_name", "column_name", "position", "dtype").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("n_null"),
         F.count("value").alias("n_distinct"),
@@ -78,11 +91,11 @@ def profile(df: DataFrame, row: Column | None = None) -> DataFrame:
         F.max_by("value", numeric).alias("max_number"),
         *(weigh(F.col("value").rlike(p)).alias(f"matches_{i}") for i, p in enumerate(SIGNATURES)),
     )
-    samples = first_values(counts, SAMPLES)
-    out = out.join(samples, "position", "left").join(widest, "position", "left")
+    out = out.join(first_values(counts, SAMPLES), list(COLUMN), "left").join(widest, list(COLUMN), "left")
     kind = semantic_type()
     is_number = F.col("dtype").isin("bigint", "int", "smallint", "tinyint", "double", "float") | F.col("dtype").startswith("decimal")
     return out.select(
+        "table_name",
         "column_name",
         "position",
         "dtype",
@@ -101,15 +114,16 @@ def profile(df: DataFrame, row: Column | None = None) -> DataFrame:
 
 
 def first_values(counts: DataFrame, n: int) -> DataFrame:
-    """(position, samples): the first n distinct values of each column in row order, cut to SAMPLE_CHARS."""
-    order = Window.partitionBy("position").orderBy("first_row")
-    first = counts.where(F.col("value").isNotNull()).select("position", "first_row", F.left("value", F.lit(SAMPLE_CHARS)).alias("value"), F.row_number().over(order).alias("k")).where(F.col("k") <= n)
-    return first.groupBy("position").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("samples"))
+    """(table_name, position, samples): the first n distinct values of each column in row order, cut to SAMPLE_CHARS."""
+    order = Window.partitionBy(*COLUMN).orderBy("first_row")
+    first = counts.where(F.col("value").isNotNull()).select(*COLUMN, "first_row", F.left("value", F.lit(SAMPLE_CHARS)).alias("value"), F.row_number().over(order).alias("k")).where(F.col("k") <= n)
+    return first.groupBy(*COLUMN).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("samples"))
 
 
 def catalog(tables: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, DataFrame]:
     """schema_tables and schema_columns of named tables (with their source file)."""
-    profiles = reduce(DataFrame.unionByName, (profile(df).withColumn("table_name", F.lit(name)).withColumn("source_file", F.lit(source)) for name, (df, source) in tables.items()))
-    columns = profiles.select("table_name", "column_name", F.col("semantic_type").alias("data_type"), "n_distinct", F.col("n_null").alias("n_nulls"), F.concat_ws(", ", F.slice("samples", 1, 3)).alias("example_values"))
-    whole = profiles.groupBy("table_name", "source_file").agg(F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_columns"))
+    files = F.create_map(*(F.lit(x) for name, (_, source) in tables.items() for x in (name, source)))
+    found = profiles({name: df for name, (df, _) in tables.items()}).withColumn("source_file", F.element_at(files, F.col("table_name")))
+    columns = found.select("table_name", "column_name", F.col("semantic_type").alias("data_type"), "n_distinct", F.col("n_null").alias("n_nulls"), F.concat_ws(", ", F.slice("samples", 1, 3)).alias("example_values"))
+    whole = found.groupBy("table_name", "source_file").agg(F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_columns"))
     return whole, columns

@@ -56,7 +56,7 @@ def test_profile(spark):
 
 CUSTOMERS = "code,customer_name,region\n" + "\n".join(f"C-{100 + i},Name {i},{'EW'[i % 2]}" for i in range(30))
 ORDERS = "order_id,cust_ref,amount\n" + "\n".join(f"O-{i},C-{100 + i % 28},{i * 3.5}" for i in range(90))
-NOISY = "pay_id,cust_code\n" + "\n".join(f"P{i},{[f' C-{100 + i % 28} ', f'c-{100 + i % 28}', f'C_{100 + i % 28}', f'C-{100 + i % 28}'][i % 4]}" for i in range(90))
+NOISY = "pay_id,cust_code\n" + "\n".join(f"P{i},{[f' C-{100 + i % 27} ', f'c-{100 + i % 27}', f'C_{100 + i % 27}', f'c_{100 + i % 27}'][i % 4]}" for i in range(90))
 WEATHER = "station,rain\n" + "\n".join(f"W-{i},{i}" for i in range(30))
 
 
