@@ -1,11 +1,10 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from gridloom.llm import suffix_array_dedup as op
 
-COLUMNS = ("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept_sha256")
+COLUMNS = ("doc_id", "n_bytes", "n_removed", "size(spans) AS n_spans", "kept_sha256")
 
 
 def brute(rows, depth):
@@ -26,7 +25,7 @@ def brute(rows, depth):
 
 @pytest.mark.parametrize("split_at", [4096, 1])
 def test_brute_force(docs, rows, split_at):
-    got = {r[0]: tuple(r[1:]) for r in op.deduplicated(docs, split_at=split_at).select(*COLUMNS).collect()}
+    got = {r[0]: tuple(r[1:]) for r in op.deduplicated(docs, split_at=split_at).selectExpr(*COLUMNS).collect()}
     assert got == brute(rows, 100)
 
 
