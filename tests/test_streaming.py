@@ -16,13 +16,15 @@ def test_windows_agree_with_batch(spark, sf_dir):
 
 
 def test_uploads(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("id,name\n1,x\n2,y\n3,z\n")
-    q = streams.uploads(spark, str(tmp_path)).writeStream.format("memory").queryName("uploaded_cells").start()
+    folder, out = tmp_path / "in", str(tmp_path / "cells")
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,name\n1,x\n2,y\n3,z\n")
+    q = streams.uploads(spark, str(folder)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).start(out)
     try:
         q.processAllAvailable()
-        (tmp_path / "b.csv").write_text("k;v\n1;2\n3;4\n")
+        (folder / "b.csv").write_text("k;v\n1;2\n3;4\n")
         q.processAllAvailable()
-        cells = spark.table("uploaded_cells")
+        cells = spark.read.parquet(out)
         assert cells.count() == 14
         assert {r["file"] for r in blocks.tables(cells).select("file").collect()} == {"a.csv", "b.csv"}
     finally:
