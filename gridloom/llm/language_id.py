@@ -33,6 +33,8 @@ HASHES = 4
 LEAST_SHARE = 2e-5
 FOREIGN = 8.0
 UNKNOWN = "und"
+#: Characters that are worked on at once.
+BLOCK = 1 << 19
 _LETTERS: list[np.ndarray] = []
 _SPACE = np.uint32(32)
 
@@ -43,15 +45,44 @@ def letter_table() -> np.ndarray:
     return _LETTERS[0]
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed trigrams of lower-cased texts around every letter, edges as spaces, and the text of each."""
-    low = [t.lower() for t in texts]
-    codes = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "replace"), np.uint32)
-    owner = np.repeat(np.arange(len(low)), np.fromiter(map(len, low), np.int64, len(low)) + 1)
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Packed trigrams around the letters of text[1:-1], edges as spaces, and the places of the letters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     letter = letter_table()[codes]
     codes = np.where(letter, codes, _SPACE).astype(np.uint64)
-    at = np.flatnonzero(letter)
-    return (codes[at - 1] << np.uint64(42)) | (codes[at] << np.uint64(21)) | codes[at + 1], owner[at - 1]
+    at = np.flatnonzero(letter[1:-1]) + 1
+    return (codes[at - 1] << np.uint64(42)) | (codes[at] << np.uint64(21)) | codes[at + 1], at
+
+
+def trigrams(texts: list[str], block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of about ``block`` letters: the trigrams of lower-cased texts, and the text of each; longer texts go over several blocks."""
+    first, held, size = 0, [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        gram, at = _grams(" " + " ".join(held) + " ")
+        owner = np.repeat(np.arange(first, first + len(held)), np.fromiter(map(len, held), np.int64, len(held)) + 1)
+        return gram, owner[at - 1]
+
+    for i, text in enumerate(texts):
+        low = text.lower()
+        if held and size + len(low) > block:
+            yield joined()
+            held, size = [], 0
+        if len(low) > block:
+            if held:
+                yield joined()
+                held, size = [], 0
+            for start in range(0, len(low), block):
+                part = (low[start - 1] if start else " ") + low[start : start + block + 1]
+                gram, at = _grams(part if start + block < len(low) else part + " ")
+                yield gram, np.full(len(gram), i)
+            continue
+        if not held:
+            first = i
+        held.append(low)
+        size += len(low)
+    if held:
+        yield joined()
 
 
 def held_out(id_col: str) -> Column:
@@ -73,14 +104,11 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
         for b in batches:
             texts, langs = [t or "" for t in b["text"].to_pylist()], b["lang"].to_pylist()
             for lang in dict.fromkeys(langs):
-                gram, _ = trigrams([t for t, own in zip(texts, langs, strict=True) if own == lang])
-                gram, n = np.unique(gram, return_counts=True)
-                if lang in sums:
-                    both = np.concatenate([sums[lang][0], gram])
-                    kinds, to = np.unique(both, return_inverse=True)
-                    n = np.bincount(to, weights=np.concatenate([sums[lang][1], n]), minlength=len(kinds)).astype(np.int64)
-                    gram = kinds
-                sums[lang] = gram, n
+                parts = [np.unique(gram, return_counts=True) for gram, _ in trigrams([t for t, own in zip(texts, langs, strict=True) if own == lang])]
+                parts += [sums[lang]] if lang in sums else []
+                if parts:
+                    gram, to = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                    sums[lang] = gram, np.bincount(to, weights=np.concatenate([n for _, n in parts]), minlength=len(gram)).astype(np.int64)
             if sum(len(x[0]) for x in sums.values()) > 1_000_000:
                 yield from out()
         yield from out()
@@ -110,14 +138,14 @@ class LanguageFilter:
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Trigrams of each text, and its corrected share of contained trigrams for each language."""
-        gram, owner = trigrams(texts)
-        total = np.bincount(owner, minlength=len(texts))
-        kinds, to = np.unique(gram, return_inverse=True)
-        masks = self.masks(kinds)[to]
-        hits = np.empty((len(texts), len(self.langs)))
-        for i in range(len(self.langs)):
-            bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-            hits[:, i] = np.bincount(owner, weights=bit, minlength=len(texts))
+        total, hits = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
+        for gram, owner in trigrams(texts):
+            total += np.bincount(owner, minlength=len(texts))
+            kinds, to = np.unique(gram, return_inverse=True)
+            masks = self.masks(kinds)[to]
+            for i in range(len(self.langs)):
+                bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+                hits[:, i] += np.bincount(owner, weights=bit, minlength=len(texts))
         share = hits / np.maximum(total, 1)[:, None]
         return total, np.clip((share - self.false_rate) / (1 - self.false_rate), 0, 1)
 
