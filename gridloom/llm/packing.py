@@ -14,13 +14,17 @@ result; other columns are ignored.  Ties in spread go to the earlier partial par
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,22 +38,65 @@ GROUP_TOKENS = 1 << 20
 REMEMBERED = 500_000
 
 
+#: Below this code point letters have one spelling each, so that composing marks (NFC) changes nothing.
+_PLAIN = "\u0250"
+
+
+def byte_letters() -> list[str]:
+    """The letters by which byte-level vocabularies write the 256 bytes: printable bytes as themselves, others from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
 class WordIds(dict):
     """Ids of white-space separated words as little-endian uint32 bytes.
 
     The tokenizer's steps (NFC, lower case, split on white space and character classes) never look across
-    ASCII white space, so a text's ids are its words' ids one after the other.
+    ASCII white space, so a text's ids are its words' ids one after the other.  Where all letters are below
+    U+0250 the steps before the merges are plain and only a word's new pieces go to the tokenizer's model;
+    other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.pieces: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        splits = [x["pattern"]["Regex"] for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split" and x["invert"]]
+        self.split = regex.compile(splits[0]).findall if kinds == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 else None
+
+    def whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            spelled = "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if self.split and (text.isascii() or max(text) < _PLAIN):
+            low = text.lower()
+            # the split of letters, and of letters before one mark, is plain to see
+            if low.isalpha():
+                ids = self.piece(low)
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                ids = self.piece(low[:-1]) + self.piece(low[-1])
+            else:
+                ids = b"".join(map(self.piece, self.split(low)))
+        else:
+            ids = self.whole(text)
         self[word] = ids
         return ids
 
@@ -65,53 +112,38 @@ def encode(text: bytes, path: str) -> bytes:
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The window of every size, and the windows' loads."""
-    if windows == 1:
-        return np.zeros(len(sizes), np.int64), np.array([sum(sizes)])
-    # a node: loads, heaviest first, of its windows; below: its two parts and the windows of theirs that each of its windows joins
-    below: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = {}
-    loads: dict[int, np.ndarray] = {}
+    """The window of every size, and the windows' loads.
+
+    A partial partition is the ascending list of its loaded windows (load, first item, items); its other windows are
+    empty.  Merging lays one's heaviest windows on the other's lightest, so loaded windows meet only where the two
+    have more than ``windows`` of them.
+    """
+    parts: dict[int, list[tuple[int, int, list[int]]]] = {i: [(s, i, [i])] for i, s in enumerate(sizes)}
     heap = [(-s, i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    lone = np.zeros(windows, np.int64)
-    node = len(sizes)
-    flipped = np.arange(windows - 1, -1, -1)
-    while len(heap) > 1:
-        (p, a), (q, b) = heapq.heappop(heap), heapq.heappop(heap)
-        if a in loads:
-            x = loads.pop(a)
-        else:
-            x = lone.copy()
-            x[0] = -p
-        if b in loads:
-            y = loads.pop(b)
+    for node in range(len(sizes), 2 * len(sizes) - 1):
+        a, b = (parts.pop(heapq.heappop(heap)[1]) for _ in range(2))
+        if len(a) < len(b):
+            a, b = b, a
+        meet = max(0, len(a) + len(b) - windows)
+        joined = [(x + y, min(i, j), p + q) for (x, i, p), (y, j, q) in zip(reversed(a[:meet]), b[:meet], strict=True)]
+        if len(b) == 1:
+            del a[:meet]
+            for w in joined or b:
+                bisect.insort(a, w)
         else:
-            y = lone.copy()
-            y[0] = -q
-        z = x + y[::-1]
-        order = np.argsort(-z, kind="stable")
-        z = z[order]
-        below[node] = (a, b, order, flipped[order])
-        loads[node] = z
-        heapq.heappush(heap, (int(z[-1] - z[0]), node))
-        node += 1
-    root = heap[0][1]
-    out = np.zeros(len(sizes), np.int64)
-    todo = [(root, np.arange(windows))]
-    while todo:
-        n, final = todo.pop()
-        if n not in below:
-            out[n] = final[0]
-            continue
-        a, b, left, right = below[n]
-        for child, own in ((a, left), (b, right)):
-            to = np.empty(windows, np.int64)
-            to[own] = final
-            todo.append((child, to))
-    return out, np.bincount(out, weights=sizes, minlength=windows).astype(np.int64)
-
-
-def packed(lengths: list[int], capacity: int = CAPACITY, slack: float = 0.01) -> list[tuple[int, int, int, int, int]]:
+            a = sorted(joined + a[meet:] + b[meet:])
+        parts[node] = a
+        heapq.heappush(heap, ((a[0][0] if len(a) == windows else 0) - a[-1][0], node))
+    out, loads = np.zeros(len(sizes), np.int64), np.zeros(windows, np.int64)
+    (whole,) = parts.values()
+    for w, (load, _, items) in enumerate(whole):
+        out[items] = w
+        loads[w] = load
+    return out, loads
+
+
+def packed(lengths: list[int], capacity: int = CAPACITY, slack: float = 0.002) -> list[tuple[int, int, int, int, int]]:
     """(item, start, length, window, offset) for every piece."""
     pieces, rest = [], []
     window = 0
