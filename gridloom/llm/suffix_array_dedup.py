@@ -98,7 +98,7 @@ def _marked(runs: DataFrame, split_at: int) -> DataFrame:
     """Passes 1 and 2: of each run, whether it is wholly repeated (DONE) or to be ordered further (OPEN); lone runs leave."""
     alike, here = Window.partitionBy("key", "digest").orderBy("doc", "_row", "at"), Window.partitionBy("key")
     at = F.row_number().over(alike)
-    seen = runs.withColumn("nth", at).withColumn("kinds", F.sum((F.col("nth") == 1).cast("long")).over(here)).withColumn("all", F.count(F.lit(1)).over(here)).withColumn("told", F.max("several").over(here))
+    seen = runs.repartition(F.col("key")).withColumn("nth", at).withColumn("kinds", F.sum((F.col("nth") == 1).cast("long")).over(here)).withColumn("all", F.count(F.lit(1)).over(here)).withColumn("told", F.max("several").over(here))
     mixed = (F.col("kinds") > 1) | F.col("told")
     state = F.when(F.col("state") != LONE, F.col("state")).when(F.col("nth") > 1, F.lit(DONE)).when(mixed, F.lit(OPEN)).otherwise(F.lit(LONE)).cast("byte")
     many = F.col("told") | (F.col("kinds") > split_at) | (F.col("state") == OPEN)
