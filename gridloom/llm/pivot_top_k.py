@@ -15,7 +15,8 @@ Defined results.  Vectors that are null or hold null or non-finite components ta
 whose id is null.  Rows that repeat a query's id are the query's own; repeated equal queries are one.
 Repeated candidate ids are ranked as often as they occur.  Vectors of different length have no score.
 Ties go to the smaller id; fewer than k candidates are all returned; an empty table gives an empty
-result; other columns are ignored.  Components must stay below 2^20 after scaling, for exact sums.
+result; other columns are ignored.  Sums are exact: in doubles below 2^53, else in integers; vectors with a
+component of 2^46 or more, whose scores no long holds, take no part.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ _SCHEMA = "query_id long, vec_id long, score long"
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v): integer vectors of the rows that take part, as doubles."""
     v = F.transform(vec_col, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-    whole = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 20) / SCALE))
+    whole = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 46)))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
@@ -62,27 +63,38 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products as longs."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(query).max(initial=0)) * x.shape[1]
+    if most < 2**53:
+        return (x @ query).astype(np.int64)
+    if most < 2**63:
+        return x.astype(np.int64) @ query.astype(np.int64)
+    return np.array([sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in x], np.int64)
+
+
 def best_of(query: np.ndarray, own: int, table: np.ndarray, ids: np.ndarray, x: np.ndarray, square: np.ndarray, to_pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids and scores of the k best candidates for one query, and how many were evaluated."""
     bound = np.abs(to_pivots - table).max(axis=1) - 1e-3
     np.maximum(bound, 0, out=bound)
-    upper = ((query * query).sum() + square - bound * bound) / 2 + 1.0
+    size = (query * query).sum() + square
+    upper = (size - bound * bound) / 2 + 1.0 + 1e-6 * size
     upper[ids == own] = -np.inf
     order = np.argsort(-upper)
-    best_score, best_id = np.empty(0), np.empty(0, np.int64)
+    best_score, best_id = np.empty(0, np.int64), np.empty(0, np.int64)
     done, step = 0, STEP
     while done < len(order):
         part = order[done : done + step]
         part = part[upper[part] > -np.inf]
         if not len(part) or (len(best_score) == k and upper[part[0]] < best_score[-1]):
             break
-        best_score = np.concatenate([best_score, x[part] @ query])
+        best_score = np.concatenate([best_score, scores(x[part], query)])
         best_id = np.concatenate([best_id, ids[part]])
         top = np.lexsort((best_id, -best_score))[:k]
         best_score, best_id = best_score[top], best_id[top]
         done += step
         step *= 2
-    return best_id, best_score.astype(np.int64), done
+    return best_id, best_score, done
 
 
 def _scan(sent, k: int):

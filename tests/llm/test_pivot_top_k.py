@@ -48,6 +48,13 @@ def test_bound_spares_work():
     assert ids.tolist() == want.tolist() and done < 2000
 
 
+def test_large_components_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.standard_normal(6) * scale).tolist()) for i, scale in enumerate([1, 1e4, 1e6, 1e6, 1e6] * 24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in op.top_k(df).collect()) == brute(rows)
+
+
 def test_few_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in op.top_k(df).collect()] == [(0, 1, 1, 256 * 512)]
