@@ -4,8 +4,8 @@ Documents are tokenised and dealt to groups of about ``group_tokens`` tokens by
 full window of a document is a sequence of its own; the remainders are packed by differencing: each
 starts as a partial partition with one loaded window, and the two partial partitions of greatest
 spread are merged, heaviest window against lightest, until one is left.  The windows are then nearly
-equal.  While one exceeds the capacity the window count rises; where a rise of ``slack`` does not help
-(few large pieces), the largest remainders are halved and the count starts anew.
+equal.  Where one exceeds the capacity the window count rises by one; what then still stands above the
+capacity (a few tokens of a window, as documents may be cut) is cut off and laid on the lightest windows.
 
 Defined results.  Null text is empty: one piece holding the end id.  Rows whose doc_id is null are packed
 with a null doc_id.  Repeated rows are packed as often as they occur; an empty table gives an empty
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import each_batch, text_bytes, with_row
+from .common import slices, text_bytes, with_row
 
 CAPACITY = 2048
 END_ID = 1
 GROUP_TOKENS = 1 << 20
-#: Words whose ids a task remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 500_000
+#: Words, and pieces of words, whose ids a task remembers; beyond, it forgets them all and starts anew.
+REMEMBERED = 250_000
 
 
 #: Below this code point letters have one spelling each, so that composing marks (NFC) changes nothing.
@@ -111,6 +111,10 @@ def encode(text: bytes, path: str) -> bytes:
     return b"".join(map(_CACHES[path].__getitem__, text.split()))
 
 
+def forget() -> None:
+    _CACHES.clear()
+
+
 def differencing(sizes: list[int], windows: int) -> tuple[np.ndarray, np.ndarray]:
     """The window of every size, and the windows' loads.
 
@@ -143,39 +147,57 @@ def differencing(sizes: list[int], windows: int) -> tuple[np.ndarray, np.ndarray
     return out, loads
 
 
-def packed(lengths: list[int], capacity: int = CAPACITY, slack: float = 0.002) -> list[tuple[int, int, int, int, int]]:
+def packed(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """(item, start, length, window, offset) for every piece."""
     pieces, rest = [], []
-    window = 0
+    first = 0
     for i, n in enumerate(lengths):
         for start in range(0, n - n % capacity, capacity):
-            pieces.append((i, start, capacity, window, 0))
-            window += 1
+            pieces.append((i, start, capacity, first, 0))
+            first += 1
         if n % capacity:
             rest.append((i, n - n % capacity, n % capacity))
-    total = sum(x[2] for x in rest)
-    if not total:
+    if not rest:
         return pieces
-    least = -(-total // capacity)
-    longest = capacity
-    while True:
-        count = least
-        while count <= least + 1 + int(slack * least):
-            to, loads = differencing([x[2] for x in rest], count)
-            if loads.max() <= capacity:
-                filled = [0] * count
-                for (i, start, n), w in zip(rest, to.tolist(), strict=True):
-                    pieces.append((i, start, n, window + w, filled[w]))
-                    filled[w] += n
-                used = np.cumsum(np.array(filled) > 0) - 1
-                return [(i, s, n, w if w < window else window + int(used[w - window]), o) for i, s, n, w, o in pieces]
-            count += max(1, int(slack * least / 4))
-        longest = max(1, longest // 2)
-        halves = []
-        for i, start, n in rest:
-            step = n if n <= longest else -(-n // 2)
-            halves += [(i, s, min(step, start + n - s)) for s in range(start, start + n, step)]
-        rest = halves
+    sizes = [n for _, _, n in rest]
+    count = -(-sum(sizes) // capacity)
+    to, loads = differencing(sizes, count)
+    if loads.max() > capacity:
+        count += 1
+        to, loads = differencing(sizes, count)
+    windows: list[list[tuple[int, int, int]]] = [[] for _ in range(count)]
+    for piece, w in zip(rest, to.tolist(), strict=True):
+        windows[w].append(piece)
+    _level(windows, loads.tolist(), capacity)
+    for w in filter(None, windows):
+        offset = 0
+        for i, start, n in w:
+            pieces.append((i, start, n, first, offset))
+            offset += n
+        first += 1
+    return pieces
+
+
+def _level(windows: list[list[tuple[int, int, int]]], loads: list[int], capacity: int) -> None:
+    """Cut what stands above the capacity off the last pieces of windows, and lay it on the lightest windows."""
+    low = iter(sorted((load, w) for w, load in enumerate(loads) if load < capacity))
+    room, to = 0, -1
+    for w, load in enumerate(loads):
+        over = load - capacity
+        while over > 0:
+            i, start, n = windows[w].pop()
+            cut = min(over, n)
+            if cut < n:
+                windows[w].append((i, start, n - cut))
+            over -= cut
+            at = start + n - cut
+            while cut:
+                if not room:
+                    load_to, to = next(low)
+                    room = capacity - load_to
+                part = min(cut, room)
+                windows[to].append((i, at, part))
+                at, cut, room = at + part, cut - part, room - part
 
 
 def _pieces(capacity: int, id_type: str):
@@ -202,14 +224,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     id_type = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
     end = np.array([end_id], id_type).tobytes()
 
-    def ids(b: pa.RecordBatch) -> pa.RecordBatch:
-        coded = [np.frombuffer(encode(x, path), "<u4").astype(id_type).tobytes() + end for x in text_bytes(b["text"])]
-        return pa.RecordBatch.from_arrays([b["doc_id"], b["group"], pa.array(coded, pa.binary())], names=["doc_id", "group", "ids"])
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, z in slices(b.num_rows, 1000):
+                part = b.slice(a, z - a)
+                coded = [np.frombuffer(encode(x, path), "<u4").astype(id_type).tobytes() + end for x in text_bytes(part["text"])]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["group"], pa.array(coded, pa.binary())], names=["doc_id", "group", "ids"])
+        # a worker goes on to other tasks, which need its memory
+        forget()
 
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes")).first()["bytes"] or 0
     groups = max(1, round(size / 4 / group_tokens))  # about four bytes a token
     rows = with_row(docs, id_col, text_col).select("doc_id", "text", F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("group"))
-    coded = each_batch(rows, ids, "doc_id long, group long, ids binary")
+    coded = rows.mapInArrow(ids, "doc_id long, group long, ids binary")
     return coded.groupBy("group").applyInArrow(_pieces(capacity, id_type), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
