@@ -174,28 +174,24 @@ def fit(counts: DataFrame, least_share: float = LEAST_SHARE, foreign: float = FO
 
 
 def predict(docs: DataFrame, model: LanguageFilter | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns keep) with lang_pred, score (the winner's part of all languages' shares) and coverage (its share)."""
+    """docs (or its columns keep) with lang_pred, score (the winner's part of all languages' shares), coverage (its share) and n_grams."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "coverage")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = [t or "" for t in b[text_col].to_pylist()]
-            langs, score, coverage = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            if m:
-                total, shares = m.shares(texts)
-                best = shares.argmax(axis=1)
-                coverage = shares.max(axis=1)
-                score = np.where(coverage > 0, coverage / np.maximum(shares.sum(axis=1), 1e-12), 0.0)
-                langs = [UNKNOWN if not n else m.langs[i] if c > 0 else m.fallback for n, i, c in zip(total.tolist(), best.tolist(), coverage.tolist(), strict=True)]
-            arrays = [b[c] for c in own] + [pa.array(langs, pa.string()), pa.array(score), pa.array(coverage)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*own, "lang_pred", "score", "coverage"])
-
-    return docs.select(*dict.fromkeys([*own, text_col])).mapInArrow(over, f"{schema}, lang_pred string, score double, coverage double")
+    own = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "coverage", "n_grams")]
+
+    def told(column: pa.Array) -> pa.Array:
+        m, texts = sent.value, [t or "" for t in column.to_pylist()]
+        langs, score, coverage, total = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        if m and texts:
+            total, shares = m.shares(texts)
+            best = shares.argmax(axis=1)
+            coverage = shares.max(axis=1)
+            score = np.where(coverage > 0, coverage / np.maximum(shares.sum(axis=1), 1e-12), 0.0)
+            langs = [UNKNOWN if not n else m.langs[i] if c > 0 else m.fallback for n, i, c in zip(total.tolist(), best.tolist(), coverage.tolist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(coverage), pa.array(total)], names=["lang_pred", "score", "coverage", "n_grams"])
+
+    # only the texts go to Python; marked as not repeatable so that a filter on the result is not a second call
+    told = F.arrow_udf(told, "struct<lang_pred:string,score:double,coverage:double,n_grams:long>").asNondeterministic()
+    return docs.select(*own, told(F.col(text_col)).alias("_told")).select(*own, "_told.*")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
