@@ -29,7 +29,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import materialised, new_path
 
 LEAST = 1000
 RECORDS_A_FILE = 20_000
@@ -45,7 +45,8 @@ def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     own = own.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1("html"))
     large = F.col("payload_bytes") >= least
     last = own.where(large).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("payload_digest").alias("twice"), "last")
-    joined = own.join(last, large & (F.col("payload_digest") == F.col("twice")), "left")
+    # written first, so that its size is known: pages are only shuffled where there are too many repeated payloads to send
+    joined = own.join(materialised(last, "copies"), large & (F.col("payload_digest") == F.col("twice")), "left")
     return joined.withColumn("refers_to", F.when(F.col("page_id") < F.col("last"), F.col("last"))).drop("twice", "last")
 
 
@@ -191,7 +192,7 @@ def read_records(spark: SparkSession, target: str) -> DataFrame:
                 for i in range(0, len(rows), 256):
                     yield _parsed(data, rows[i : i + 256])
 
-    return files.select(part.alias("part"), "content").join(entries, "part").select("content", "entries").mapInArrow(over, "page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    return files.select(part.alias("part"), "content").join(entries.hint("shuffle_hash"), "part").select("content", "entries").mapInArrow(over, "page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
 def _page(urn: str | None) -> int | None:
