@@ -37,15 +37,17 @@ def with_row(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row:
 
 
 def each_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """df through f, a thousand rows at a time, as rows can be large."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield f(b)
+            for a, z in slices(b.num_rows):
+                yield f(b.slice(a, z - a))
 
     return df.mapInArrow(over, schema)
 
 
-def slices(n: int, size: int = 10_000) -> Iterator[tuple[int, int]]:
+def slices(n: int, size: int = 1000) -> Iterator[tuple[int, int]]:
     for i in range(0, n, size):
         yield i, min(n, i + size)
 

@@ -226,7 +226,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, z in slices(b.num_rows, 1000):
+            for a, z in slices(b.num_rows):
                 part = b.slice(a, z - a)
                 coded = [np.frombuffer(encode(x, path), "<u4").astype(id_type).tobytes() + end for x in text_bytes(part["text"])]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["group"], pa.array(coded, pa.binary())], names=["doc_id", "group", "ids"])

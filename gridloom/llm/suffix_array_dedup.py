@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import window_kernel as wk
-from .common import each_batch, materialised, text_bytes, with_row
+from .common import each_batch, materialised, slices, text_bytes, with_row
 
 GRAM = 24
 #: Rows that a task gathers before it drops its own repeats.
-GATHER = 1_000_000
+GATHER = 500_000
 LONE, DONE, OPEN = 0, 1, 2
 _LAST = np.iinfo(np.int64).max
 
@@ -180,7 +180,7 @@ def _last_digits(depth: int):
 
 def _cut(depth: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(a, z - a) for x in batches for a, z in slices(x.num_rows)):
             kept, removed, spans, sha, size = [], [], [], [], []
             for text, runs in zip(text_bytes(b["text"]), b["spots"].to_pylist(), strict=True):
                 ends: list[list[int]] = []
