@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import blocks, fuse, graph, infer, profile, relate
 from .plans import guard, present
 from .sources import grids
+from .sources.store import written
 
 
 class Session:
@@ -23,14 +24,13 @@ class Session:
 
     def add_files(self, *paths: str) -> list[str]:
         """Read, type, fuse and relate the tables of the files; all of them are staged before any is registered."""
-        long = blocks.tables(grids.read_cells(self.spark, *paths)).persist()
+        long = written(blocks.tables(grids.read_cells(self.spark, *paths)), "cells")
         staged, sources = dict(self.tables), dict(self.sources)
         for r in long.select("file", "sheet", "block").distinct().orderBy("file", "sheet", "block").collect():
             name = self._alias(r["file"], r["sheet"], r["block"], staged)
-            staged[name] = infer.coerced(blocks.wide(long, r["file"], r["sheet"], r["block"]).drop("row")).persist()
+            staged[name] = written(infer.coerced(blocks.wide(long, r["file"], r["sheet"], r["block"]).drop("row")), name)
             sources[name] = r["file"]
         self._register(fuse.fused(staged), sources)
-        long.unpersist()
         return list(self.tables)
 
     def add_table(self, name: str, df: DataFrame) -> None:
@@ -56,7 +56,7 @@ class Session:
         whole.createOrReplaceTempView("schema_tables")
         columns.createOrReplaceTempView("schema_columns")
         if len(tables) > 1:
-            found = relate.discovered(tables).persist()
+            found = written(relate.discovered(tables), "relationships")
             self.relationships = graph.merged(self.relationships, found) if self.relationships is not None else found
 
     def decide(self, id_: str, status: str) -> None:
