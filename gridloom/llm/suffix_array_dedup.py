@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import window_kernel as wk
-from .common import each_batch, materialised, slices, text_bytes, with_row
+from .common import materialised, slices, text_bytes, with_row
 
 GRAM = 24
 #: Rows that a task gathers before it drops its own repeats.
@@ -178,7 +178,7 @@ def _last_digits(depth: int):
     return over
 
 
-def _cut(depth: int):
+def _cut(depth: int, as_text: bool):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(a, z - a) for x in batches for a, z in slices(x.num_rows)):
             kept, removed, spans, sha, size = [], [], [], [], []
@@ -198,7 +198,7 @@ def _cut(depth: int):
                 spans.append([{"start": a, "end": z} for a, z in ends])
                 sha.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["_row"], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                [b["doc_id"], b["_row"], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                 names=["doc_id", "_row", "n_bytes", "n_removed", "kept_sha256", "kept", "spans"],
             )
 
@@ -226,21 +226,15 @@ def repeated_windows(rows: DataFrame, depth: int = 100, split_at: int = 4096) ->
     return dealt, marked.where(F.col("state") == DONE).select("_row", "at", "n").union(found)
 
 
-def deduplicated(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", split_at: int = 4096) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, kept_sha256, kept (binary) and the removed byte spans."""
+def deduplicated(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", split_at: int = 4096, as_text: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, kept_sha256, kept and the removed byte spans.
+
+    kept: the bytes that stay; as_text: as a string, without the bytes of characters that a cut went through.
+    """
     dealt, spans = repeated_windows(with_row(docs, id_col, text_col), depth, split_at)
     spots = spans.groupBy("_row").agg(F.collect_list(_packed()).alias("spots"))
     out = dealt.join(spots.hint("shuffle_hash"), "_row", "left").select("doc_id", "_row", "text", "spots")
-    return out.mapInArrow(_cut(depth), "doc_id long, _row long, n_bytes long, n_removed long, kept_sha256 string, kept binary, spans array<struct<start:int,end:int>>")
-
-
-def kept_text(found: DataFrame) -> DataFrame:
-    """(doc_id, _row, text) of deduplicated rows: the kept bytes as text, without the bytes of characters that a cut went through."""
-
-    def over(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b["doc_id"], b["_row"], pa.array([x.decode("utf-8", "ignore") for x in b["kept"].to_pylist()], pa.string())], names=["doc_id", "_row", "text"])
-
-    return each_batch(found.select("doc_id", "_row", "kept"), over, "doc_id long, _row long, text string")
+    return out.mapInArrow(_cut(depth, as_text), f"doc_id long, _row long, n_bytes long, n_removed long, kept_sha256 string, kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>")
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
