@@ -36,6 +36,11 @@ def with_row(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias(row))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with _row, written once: every later job reads the ids that were stored, however its scans are split."""
+    return materialised(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def each_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """df through f, a thousand rows at a time, as rows can be large."""
 
