@@ -6,6 +6,12 @@ done for every line that names a licence, against known one-line notices, so tha
 is found as an entire text of its own.  Only digests are compared; the known texts are a small fixed table, or
 one that the caller gives.
 
+The fixed table has the entire texts in ``licenses/`` (with and without what follows the terms), those of MIT,
+ISC and 0BSD below, and the standard headers of Apache-2.0, MPL-2.0, GPL-2.0, GPL-3.0 and LGPL-2.1.  It has no
+entire text of AGPL-3.0, CC-BY-4.0, CC-BY-NC-4.0 and EPL-2.0: these are found by one-line notices only, unless the
+caller gives their texts.  A header of several lines is found where it is the whole document or stands on one
+line, and by those of its lines that name one licence only (Apache-2.0, MPL-2.0).
+
 Defined results.  Null text is empty and matches nothing known.  Of licences with one canonical text the
 least name is given.  Null ids keep their row; repeated rows give repeated rows; an empty table gives an empty
 result; other columns are ignored.
@@ -14,6 +20,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,12 +88,43 @@ TEXTS = (
     ("ISC", "ISC License\n\n" + _USE + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_WARRANTY),
     ("0BSD", _USE + ".\n\n" + _ISC_WARRANTY),
 )
+#: Where the standard header stands in an entire text: its first and last words.
+HEADERS = (
+    ("Apache-2.0", "Licensed under the Apache License", "limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms", "http://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0", "This program is free software; you can", "MA 02110-1301 USA."),
+    ("GPL-3.0", "This program is free software: you can", "<https://www.gnu.org/licenses/>."),
+    ("LGPL-2.1", "This library is free software; you can", "USA"),
+)
+#: Lines of headers that name one licence by themselves.
+HEADER_LINES = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "License, v. 2.0. If a copy of the MPL was not distributed with this"),
+)
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def entire() -> list[tuple[str, str]]:
+    """(license, text): the files' texts, with and without what follows the terms, and their headers."""
+    files = {p.name.removesuffix(".txt"): p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    out = list(files.items())
+    for i, text in files.items():
+        if _END in text:
+            out += [(i, text[: text.index(_END)]), (i, text[: text.index(_END) + len(_END)])]
+        out += [(i, f"{name}\n\n{text}") for name in dict(LICENSES)[i]]
+    for i, first, last in HEADERS:
+        start = files[i].index(first)
+        out.append((i, files[i][start : files[i].index(last, start) + len(last)]))
+    return out
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """(license, text): the texts above, and the notices by rule."""
+    """(license, text): the texts above, those of the files, and the notices by rule."""
     notices = [(i, n.format(name, i)) for i, names in LICENSES for name in names for n in NOTICES]
-    return spark.createDataFrame([*TEXTS, *dict.fromkeys(notices)], "license string, text string")
+    return spark.createDataFrame([*TEXTS, *entire(), *HEADER_LINES, *dict.fromkeys(notices)], "license string, text string")
 
 
 def _java(replacement: str) -> str:
