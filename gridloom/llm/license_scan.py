@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import with_row
 
+#: Words after "copyright" or a sign that go on with a sentence instead of naming a year or holder, as where a text is wrapped there.
+_SENTENCE = r"(?:(?:notice|holder|owner|ownership|law|license|licence|line|statement|interest|treat(?:y|ie)|permission|disclaimer|doctrine|claim|protection|right)s?|also|and|or|are|is|if|in|of|on|to|for|from|any|all|as|at|an?|under|you|your|including|like|more|patent|related|similar|resulting|then|that|this|those|these|which|must|shall|may|not|(?:the|its) (?:software|program|work|library|licensor|licensed|source|original|covered|above|following|copyright))\b"
 #: Lines that state who holds the copyright, in lower case.
-COPYRIGHT = r"^[^a-z0-9]*(?:copyright|\(c\)|©|all rights reserved)"
+COPYRIGHT = rf"^[^a-z0-9]*(?:all rights reserved|(?:copyright[^\p{{L}}\p{{N}}]*)?©|(?:copyright[^\p{{L}}\p{{N}}]*)?\(c\)[^\p{{L}}\p{{N}}]*(?:$|(?!{_SENTENCE})[\p{{L}}\p{{N}}])|copyright(?![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}]*(?!{_SENTENCE})[\p{{L}}\p{{N}}])"
+#: The wider rule that the SQL states: it also takes wrapped lines that go on with a sentence.
+_SQL_COPYRIGHT = r"^[^a-z0-9]*(?:copyright|\(c\)|©|all rights reserved)"
 #: Lines that a notice can be; every known notice has one of these words.
 NAMES_A_LICENSE = r"(?i)licen[cs]|public domain"
 #: Equivalent spellings, over canonical words.
@@ -169,7 +173,7 @@ def _sql_text(x: str) -> str:
 
 
 def _sql_canonical(c: str) -> str:
-    words = f"trim(regexp_replace(array_to_string(list_filter(string_split(lower({c}), chr(10)), lambda x: NOT regexp_matches(x, {_sql_text(COPYRIGHT)})), ' '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    words = f"trim(regexp_replace(array_to_string(list_filter(string_split(lower({c}), chr(10)), lambda x: NOT regexp_matches(x, {_sql_text(_SQL_COPYRIGHT)})), ' '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for pattern, replacement in SPELLINGS:
         words = f"regexp_replace({words}, {_sql_text(pattern)}, {_sql_text(replacement.replace('{1}', chr(92) + '1').replace('{2}', chr(92) + '2'))}, 'g')"
     return words

@@ -35,3 +35,37 @@ def test_entire_texts_and_headers(spark):
 def test_apache_header(spark):
     got = scanned(spark, [APACHE, APACHE + "\nimport os\n", "\n".join(APACHE.splitlines()[2:3])])
     assert [got[k] for k in range(3)] == [("Apache-2.0", [(3, "Apache-2.0")]), (None, [(3, "Apache-2.0")]), ("Apache-2.0", [(1, "Apache-2.0")])]
+
+
+def wrapped(text, width):
+    """Paragraphs filled to a width; lines that state a copyright stay by themselves."""
+    out, held = [], []
+
+    def fill():
+        out.extend(textwrap.wrap(" ".join(held), width, break_long_words=False, break_on_hyphens=False))
+        held.clear()
+
+    for line in text.split("\n"):
+        alone = line.strip().startswith(("Copyright (C)", "Copyright (c)"))
+        if alone or not line.strip():
+            fill()
+            out.append(line)
+        else:
+            held.append(line.strip())
+    fill()
+    return "\n".join(out)
+
+
+def test_wrapping_changes_nothing(spark):
+    known = [(i, t) for i, t in [*op.TEXTS, *op.entire()] if op._END not in t or t.endswith(op._END)]
+    cases = [(i, wrapped(t, width)) for i, t in known for width in (*range(20, 101, 4), 10_000)]
+    got = scanned(spark, [t for _, t in cases])
+    assert [(i, [x for x in t.split("\n") if "copyright" in x.lower()[:15] or "(c)" in x.lower()[:5]]) for k, (i, t) in enumerate(cases) if got[k][0] != i] == []
+
+
+def test_statements_of_ownership(spark):
+    mit = op.TEXTS[0][1]
+    stated = ["Copyright 2020 A", "Copyright (c) 2020 A", "(c) 2020 A", "© A B", "COPYRIGHT: The Regents", "Copyright (C) <year> <owner>", "Copyright [yyyy] [name]", "# Copyright by Jane Doe", "All rights reserved.", "(c) Jane Doe", "Copyright ©"]
+    prose = ["copyright notice", "Copyright holders agree.", "(c) You must retain", "copyright law", "Copyrighted by A", "copyright"]
+    got = scanned(spark, [f"{x}\n{mit}" for x in stated + prose])
+    assert [got[k][0] for k in range(len(stated + prose))] == ["MIT"] * len(stated) + [None] * len(prose)
