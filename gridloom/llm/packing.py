@@ -55,13 +55,15 @@ class WordIds(dict):
     The tokenizer's steps (NFC, lower case, split on white space and character classes) never look across
     ASCII white space, so a text's ids are its words' ids one after the other.  Where all letters are below
     U+0250 the steps before the merges are plain and only a word's new pieces go to the tokenizer's model;
-    other words go through the whole tokenizer.
+    other words, and words that contain an added token, go through the whole tokenizer, which finds added tokens
+    in a text wherever they stand.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = regex.compile("|".join(map(regex.escape, added)), regex.IGNORECASE).search if added else lambda _: None
         self.pieces: dict[str, bytes] = {}
         self.letters = byte_letters()
         steps = json.loads(self.tokenizer.to_str())
@@ -86,7 +88,7 @@ class WordIds(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         text = word.decode()
-        if self.split and (text.isascii() or max(text) < _PLAIN):
+        if self.split and (text.isascii() or max(text) < _PLAIN) and not self.added(text):
             low = text.lower()
             # the split of letters, and of letters before one mark, is plain to see
             if low.isalpha():
