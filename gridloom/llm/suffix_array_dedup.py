@@ -213,7 +213,7 @@ def _packed(at: str = "at", n: str = "n"):
 def repeated_windows(rows: DataFrame, depth: int = 100, split_at: int = 4096) -> tuple[DataFrame, DataFrame]:
     """The texts dealt by row, and (_row, at, n): n neighbouring windows from byte ``at`` on that also start earlier.
 
-    rows: (doc_id, text, _row).
+    rows: (doc_id, text, _row), a stored table.
     """
     runs = rows.mapInArrow(_first_digit(depth, min(64, split_at)), "key long, digest long, doc long, _row long, at long, n int, digit long, state byte, several boolean")
     marked = materialised(_marked(runs, split_at), "runs")
@@ -226,12 +226,17 @@ def repeated_windows(rows: DataFrame, depth: int = 100, split_at: int = 4096) ->
     return dealt, marked.where(F.col("state") == DONE).select("_row", "at", "n").union(found)
 
 
-def deduplicated(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", split_at: int = 4096, as_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", split_at: int = 4096, as_text: bool = False, row_col: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, kept_sha256, kept and the removed byte spans.
 
     kept: the bytes that stay; as_text: as a string, without the bytes of characters that a cut went through.
+    row_col: row ids of docs, which then is a stored table; else texts are written with new ones, as several jobs read them.
     """
-    dealt, spans = repeated_windows(with_row(docs, id_col, text_col), depth, split_at)
+    if row_col:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(row_col).alias("_row"))
+    else:
+        rows = materialised(with_row(docs, id_col, text_col), "texts")
+    dealt, spans = repeated_windows(rows, depth, split_at)
     spots = spans.groupBy("_row").agg(F.collect_list(_packed()).alias("spots"))
     out = dealt.join(spots.hint("shuffle_hash"), "_row", "left").select("doc_id", "_row", "text", "spots")
     return out.mapInArrow(_cut(depth, as_text), f"doc_id long, _row long, n_bytes long, n_removed long, kept_sha256 string, kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>")
