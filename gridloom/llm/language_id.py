@@ -7,6 +7,9 @@ mask with a bit for each language whose filter has bit s, so the AND of a trigra
 of all languages that contain it.  A text's score for a language is its share of contained trigrams,
 corrected for the filter's false positives; the highest decides, ties going to the smallest name.
 
+A large input leaves rarer trigrams out, which lowers the coverage of languages with many letters; so coverage is to be
+judged against ``usual``, the share that the language's set holds of its own training trigrams.
+
 Size bound: a language has at most 1 / least_share trigrams, whatever the input, so the collected sets
 and the broadcast filter are bounded by languages / least_share entries.
 
@@ -123,6 +126,8 @@ class LanguageFilter:
     table: np.ndarray
     false_rate: np.ndarray
     fallback: str
+    #: Share of each language's own training trigrams that its set contains.
+    usual: np.ndarray
 
     def slots(self, gram: np.ndarray) -> list[np.ndarray]:
         x = splitmix(gram.astype(np.uint64))
@@ -155,7 +160,7 @@ def fit(counts: DataFrame, least_share: float = LEAST_SHARE, foreign: float = FO
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= least_share)
     most = share.groupBy("gram").agg(F.max("share").alias("most"))
-    kept = share.join(most, "gram").where(F.col("share") * foreign >= F.col("most")).select("lang", "gram")
+    kept = share.join(most, "gram").where(F.col("share") * foreign >= F.col("most")).select("lang", "gram", "share")
     sizes = {r["lang"]: r["total"] for r in totals.collect()}
     if not sizes:
         return None
@@ -165,7 +170,7 @@ def fit(counts: DataFrame, least_share: float = LEAST_SHARE, foreign: float = FO
     gram = rows["gram"].to_numpy().view(np.uint64)
     most_grams = int(np.bincount(lang, minlength=1).max())
     slots = 1 << max(10, (16 * most_grams - 1).bit_length())
-    model = LanguageFilter(langs, np.zeros((slots, (len(langs) + 63) // 64), np.uint64), np.zeros(len(langs)), max(langs, key=lambda x: (sizes[x], x)))
+    model = LanguageFilter(langs, np.zeros((slots, (len(langs) + 63) // 64), np.uint64), np.zeros(len(langs)), max(langs, key=lambda x: (sizes[x], x)), np.bincount(lang, weights=rows["share"].to_numpy(), minlength=len(langs)))
     for s in model.slots(gram):
         np.bitwise_or.at(model.table, (s, lang // 64), np.uint64(1) << (lang % 64).astype(np.uint64))
     for i in range(len(langs)):
@@ -174,23 +179,24 @@ def fit(counts: DataFrame, least_share: float = LEAST_SHARE, foreign: float = FO
 
 
 def predict(docs: DataFrame, model: LanguageFilter | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns keep) with lang_pred, score (the winner's part of all languages' shares), coverage (its share) and n_grams."""
+    """docs (or its columns keep) with lang_pred, score (the winner's part of all languages' shares), coverage (its share), n_grams and usual (what its own training trigrams' share was)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "coverage", "n_grams")]
+    own = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "coverage", "n_grams", "usual")]
 
     def told(column: pa.Array) -> pa.Array:
         m, texts = sent.value, [t or "" for t in column.to_pylist()]
-        langs, score, coverage, total = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        langs, score, coverage, total, usual = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         if m and texts:
             total, shares = m.shares(texts)
             best = shares.argmax(axis=1)
             coverage = shares.max(axis=1)
             score = np.where(coverage > 0, coverage / np.maximum(shares.sum(axis=1), 1e-12), 0.0)
+            usual = m.usual[np.where(coverage > 0, best, m.langs.index(m.fallback))]
             langs = [UNKNOWN if not n else m.langs[i] if c > 0 else m.fallback for n, i, c in zip(total.tolist(), best.tolist(), coverage.tolist(), strict=True)]
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(coverage), pa.array(total)], names=["lang_pred", "score", "coverage", "n_grams"])
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(coverage), pa.array(total), pa.array(usual)], names=["lang_pred", "score", "coverage", "n_grams", "usual"])
 
     # only the texts go to Python; marked as not repeatable so that a filter on the result is not a second call
-    told = F.arrow_udf(told, "struct<lang_pred:string,score:double,coverage:double,n_grams:long>").asNondeterministic()
+    told = F.arrow_udf(told, "struct<lang_pred:string,score:double,coverage:double,n_grams:long,usual:double>").asNondeterministic()
     return docs.select(*own, told(F.col(text_col)).alias("_told")).select(*own, "_told.*")
 
 
