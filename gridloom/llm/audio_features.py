@@ -112,9 +112,10 @@ def mel_bank() -> np.ndarray:
 
 
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies (frames, MELS), rounded to 1/256, and the energy of each frame in decibels."""
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+    """Log-mel energies (frames, MELS), rounded to 1/256, and the energy of each frame in decibels; zeros fill the last frame up."""
+    short = max(FRAME - len(y), (FRAME - len(y)) % HOP)
+    if short:
+        y = np.concatenate([y, np.zeros(short, np.float32)])
     views = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     mels, energy = [], []
@@ -135,15 +136,15 @@ def segments(energy: np.ndarray) -> np.ndarray:
     return turns.reshape(-1, 2)
 
 
-def tensors(mels: np.ndarray) -> bytes:
-    """Arrow IPC stream: start_s, end_s, log_mel as fixed_shape_tensor(float32, (PATCH, MELS)); the last patch is filled up with the floor."""
+def tensors(mels: np.ndarray, samples: int) -> bytes:
+    """Arrow IPC stream: start_s, end_s, log_mel as fixed_shape_tensor(float32, (PATCH, MELS)); the last patch is filled up with the floor, and ends with the signal of so many samples."""
     frames = len(mels)
     n = -(-frames // PATCH)
     filled = np.full((n * PATCH, MELS), np.log(FLOOR), np.float32)
     filled[:frames] = mels
     first = np.arange(n) * PATCH
     start = first * HOP / RATE
-    end = ((np.minimum(first + PATCH, frames) - 1) * HOP + FRAME) / RATE
+    end = np.minimum((np.minimum(first + PATCH, frames) - 1) * HOP + FRAME, samples) / RATE
     table = pa.table({"start_s": start, "end_s": end, "log_mel": pa.FixedShapeTensorArray.from_numpy_ndarray(filled.reshape(n, PATCH, MELS))})
     out = io.BytesIO()
     with pa.ipc.new_stream(out, table.schema) as w:
@@ -176,10 +177,11 @@ def audio_features(media: DataFrame) -> DataFrame:
             sha.append(hashlib.sha256(samples).hexdigest())
             crc.append(zlib.crc32(samples[-32:]))
             wave_form = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-            mels, energy = log_mel(resample(wave_form, UP, DOWN))
+            signal = resample(wave_form, UP, DOWN)
+            mels, energy = log_mel(signal)
             frames.append(len(mels))
-            spans.append([{"start_s": a * HOP / RATE, "end_s": ((z - 1) * HOP + FRAME) / RATE} for a, z in segments(energy).tolist()])
-            patches.append(tensors(mels))
+            spans.append([{"start_s": a * HOP / RATE, "end_s": min((z - 1) * HOP + FRAME, len(signal)) / RATE} for a, z in segments(energy).tolist()])
+            patches.append(tensors(mels, len(signal)))
         span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
         return pa.RecordBatch.from_arrays(
             [b["doc_id"], b["n_bytes"], b["media"], pa.array(size, pa.int64()), pa.array(sha), pa.array(crc, pa.int64()), pa.array(frames, pa.int64()), pa.array(spans, span), pa.array(patches, pa.binary())],
