@@ -11,12 +11,11 @@ from tokenizers import Tokenizer
 from gridloom.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(PATH)
 
 
 def plain_ids(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [1]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check(pieces, texts):
