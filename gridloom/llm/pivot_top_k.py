@@ -7,16 +7,18 @@ by the triangle inequality the greatest coordinate difference is a lower bound o
 order of that bound, exactly and in integers, until the k-th score beats all bounds that are left.  Each
 task returns its k best per query, and the k best of those are ranked.
 
-Queries come in blocks of ``block`` rows (documented bound of what is broadcast); every block meets all
-rows.  Pivots are fitted on a bounded sample: ``pivots`` rows spread over the first ``sample`` vectors
-by id order of hash.  They only steer the order of evaluation, never the result.
-
-Defined results.  Vectors that are null or hold null or non-finite components take no part, nor do rows
-whose id is null.  Rows that repeat a query's id are the query's own; repeated equal queries are one.
-Repeated candidate ids are ranked as often as they occur.  Vectors of different length have no score.
-Ties go to the smaller id; fewer than k candidates are all returned; an empty table gives an empty
-result; other columns are ignored.  Sums are exact: in doubles below 2^53, else in integers; vectors with a
-component of 2^46 or more, whose scores no long holds, take no part.
+Queries come in blocks of ``block`` rows (documented bound of what the driver holds and of what is broadcast);
+every block meets all rows, and where there are several each one's result is written before the next.  A task
+keeps the k best of each query over its batches, so it holds one batch.  Pivots are fitted on a bounded sample:
+``pivots`` rows spread over the first ``sample`` vectors by hash of the id.  They only steer the order of
+evaluation, never the result.
+
+Defined results.  Vectors that are null or hold null or non-finite components take no part (nor do those of which
+a component times 256 is over all doubles), nor do rows whose id is null.  Rows that repeat a query's id are the
+query's own; repeated equal queries are one.  Repeated candidate ids are ranked as often as they occur.  Vectors of
+different length have no score.  Ties go to the smaller id; fewer than k candidates are all returned; an empty table
+gives an empty result; other columns are ignored.  Sums are exact: in doubles below 2^53, in longs below 2^63, else
+in integers of any size; a score that no long holds is given, and ranked, as the nearest long.
 """
 
 from __future__ import annotations
@@ -25,36 +27,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import new_path
+
 SCALE = 256
-BLOCK = 4096
+BLOCK = 16_384
 PIVOTS = 32
 SAMPLE = 1024
 STEP = 64
 _SCHEMA = "query_id long, vec_id long, score long"
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v): integer vectors of the rows that take part, as doubles."""
-    v = F.transform(vec_col, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-    whole = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 46)))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    """(vec_id, v): the vectors of the rows that take part, as doubles, not yet integers."""
+    whole = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < float("inf")))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
 
 
-def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrix of the vectors of each length, ids ascending."""
-    ids = t["vec_id"].to_numpy()
-    v = t["v"].combine_chunks()
-    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+def _by_length(t: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of integers, floor(256 * x), of the vectors of each length, ids ascending."""
+    ids, v = t["vec_id"].to_numpy(), t["v"]
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
     ends, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
     size = np.diff(ends)
     out = {}
     for n in np.unique(size):
         rows = np.flatnonzero(size == n)
         rows = rows[np.argsort(ids[rows], kind="stable")]
-        out[int(n)] = ids[rows], flat[ends[rows][:, None] + np.arange(n)]
+        out[int(n)] = ids[rows], np.floor(flat[ends[rows][:, None] + np.arange(n)] * SCALE)
     return out
 
 
@@ -64,58 +68,81 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products as longs."""
+    """Exact inner products as longs, or the nearest long."""
     most = float(np.abs(x).max(initial=0)) * float(np.abs(query).max(initial=0)) * x.shape[1]
     if most < 2**53:
         return (x @ query).astype(np.int64)
     if most < 2**63:
         return x.astype(np.int64) @ query.astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in x], np.int64)
-
-
-def best_of(query: np.ndarray, own: int, table: np.ndarray, ids: np.ndarray, x: np.ndarray, square: np.ndarray, to_pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and scores of the k best candidates for one query, and how many were evaluated."""
-    bound = np.abs(to_pivots - table).max(axis=1) - 1e-3
-    np.maximum(bound, 0, out=bound)
-    size = (query * query).sum() + square
-    upper = (size - bound * bound) / 2 + 1.0 + 1e-6 * size
-    upper[ids == own] = -np.inf
-    order = np.argsort(-upper)
-    best_score, best_id = np.empty(0, np.int64), np.empty(0, np.int64)
-    done, step = 0, STEP
-    while done < len(order):
-        part = order[done : done + step]
-        part = part[upper[part] > -np.inf]
-        if not len(part) or (len(best_score) == k and upper[part[0]] < best_score[-1]):
-            break
-        best_score = np.concatenate([best_score, scores(x[part], query)])
-        best_id = np.concatenate([best_id, ids[part]])
-        top = np.lexsort((best_id, -best_score))[:k]
-        best_score, best_id = best_score[top], best_id[top]
-        done += step
-        step *= 2
-    return best_id, best_score, done
+    q = list(map(int, query.tolist()))
+    exact = (sum(int(a) * b for a, b in zip(row, q, strict=True)) for row in x.tolist())
+    return np.array([min(max(s, LEAST), MOST) for s in exact], np.int64)
+
+
+class Search:
+    """The k best candidates of each query (vectors of one length) over all batches that it meets."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, k: int):
+        self.ids, self.vectors, self.pivots, self.k = ids, vectors, pivots, k
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.table, self.square = distances(vectors, pivots), (vectors * vectors).sum(axis=1)
+        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
+        self.evaluated = 0
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            table, square = np.ascontiguousarray(distances(x, self.pivots).T), (x * x).sum(axis=1)
+            apart = np.empty_like(table)
+            for i in range(len(self.ids)):
+                np.subtract(table, self.table[i][:, None], out=apart)
+                np.abs(apart, out=apart)
+                bound = np.maximum(apart.max(axis=0, initial=0) - 1e-3, 0)
+                size = self.square[i] + square
+                upper = (size - bound * bound) / 2 + 1.0 + 1e-6 * size
+                # sums over all doubles bound nothing
+                upper[np.isnan(upper)] = np.inf
+                self._evaluate(i, ids, x, upper)
+
+    def _evaluate(self, i: int, ids: np.ndarray, x: np.ndarray, upper: np.ndarray) -> None:
+        """Candidates in the order of their bounds, until the k-th score beats all bounds that are left."""
+        best_id, best_score = self.best[i]
+        alive, step = np.flatnonzero(ids != self.ids[i]), max(STEP, self.k)
+        while True:
+            if len(best_score) == self.k:
+                alive = alive[upper[alive] >= best_score[-1]]
+            if not len(alive):
+                break
+            if len(alive) > step:
+                order = np.argpartition(-upper[alive], step - 1)
+                part, alive = alive[order[:step]], alive[order[step:]]
+            else:
+                part, alive = alive, alive[:0]
+            self.evaluated += len(part)
+            best_score = np.concatenate([best_score, scores(x[part], self.vectors[i])])
+            best_id = np.concatenate([best_id, ids[part]])
+            top = np.lexsort((best_id, ~best_score))[: self.k]
+            best_id, best_score = best_id[top], best_score[top]
+            step *= 2
+        self.best[i] = best_id, best_score
+
+    def found(self) -> pa.RecordBatch:
+        size = [len(x) for x, _ in self.best]
+        columns = np.repeat(self.ids, size), np.concatenate([x for x, _ in self.best]), np.concatenate([x for _, x in self.best])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def _scan(sent, k: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
         queries, pivots = sent.value
-        rows = _by_length(pa.Table.from_batches(parts))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for n, (ids, x) in rows.items():
-            if n not in queries:
-                continue
-            q_ids, q = queries[n]
-            reference = pivots.get(n, q[:1])
-            table, q_table, square = distances(x, reference), distances(q, reference), (x * x).sum(axis=1)
-            for i in range(len(q_ids)):
-                ids_i, scores, _ = best_of(q[i], q_ids[i], table, ids, x, square, q_table[i], k)
-                out.append((np.full(len(ids_i), q_ids[i]), ids_i, scores))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+        searches: dict[int, Search] = {}
+        for b in batches:
+            for n, (ids, x) in _by_length(b).items():
+                if n in queries:
+                    if n not in searches:
+                        searches[n] = Search(*queries[n], pivots.get(n, queries[n][1][:1]), k)
+                    searches[n].meet(ids, x)
+        for s in searches.values():
+            yield s.found()
 
     return over
 
@@ -138,14 +165,21 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     blocks = max(1, -(-queries.count() // block))
     drawn = _by_length(rows.orderBy(F.xxhash64("vec_id")).limit(sample).toArrow())
     reference = {n: spread_pivots(x, pivots) for n, (_, x) in drawn.items()}
-    out = spark.createDataFrame([], _SCHEMA)
-    for i in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)
+
+    def found(part: DataFrame) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast((_by_length(part.toArrow()), reference))
-        found = rows.mapInArrow(_scan(sent, k), _SCHEMA)
-        out = found if blocks == 1 else out.union(found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = rows.mapInArrow(_scan(sent, k), _SCHEMA).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score"), sent
+
+    if blocks == 1:
+        return found(queries)[0]
+    path = new_path(spark, "top_k")
+    for i in range(blocks):
+        out, sent = found(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i))
+        out.write.parquet(f"{path}/block={i}")
+        sent.destroy()
+    return spark.read.schema(out.schema).parquet(path).select(*out.columns)
 
 
 def op6_pivot_top_k(spark, sf_dir: str) -> DataFrame:
@@ -156,11 +190,13 @@ def op6_pivot_top_k(spark, sf_dir: str) -> DataFrame:
 SQL = """
     WITH v AS (
         SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(256 * x::DOUBLE))) = 0
     ), s AS (
-        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS s
         FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    ), t AS (
+        SELECT query_id, vec_id, CASE WHEN s >= 9223372036854775807 THEN 9223372036854775807 WHEN s <= -9223372036854775808 THEN -9223372036854775808 ELSE s::BIGINT END AS score FROM s
     )
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-    FROM s QUALIFY rank <= 5
+    FROM t QUALIFY rank <= 5
 """

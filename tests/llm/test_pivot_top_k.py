@@ -11,7 +11,7 @@ def brute(rows, every=50, k=5):
     use = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, v in {(i, tuple(v)) for i, v in use if i % every == 0}:
-        s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in use if i != q and len(w) == len(v))
+        s = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(2**63)), 2**63 - 1), i) for i, w in use if i != q and len(w) == len(v))
         out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
     return sorted(out)
 
@@ -40,12 +40,22 @@ def test_bound_spares_work():
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((20, 16)) * 400
     x = np.floor(centres[rng.integers(0, 20, 4000)] + rng.standard_normal((4000, 16)) * 20)
-    pivots = op.spread_pivots(x[:1000], 32)
-    table, square = op.distances(x, pivots), (x * x).sum(axis=1)
-    q = x[17]
-    ids, scores, done = op.best_of(q, 17, table, np.arange(4000), x, square, op.distances(q[None], pivots)[0], 5)
-    want = np.lexsort((np.arange(4000), -np.where(np.arange(4000) == 17, -np.inf, x @ q)))[:5]
-    assert ids.tolist() == want.tolist() and done < 2000
+    search = op.Search(np.array([17]), x[17:18], op.spread_pivots(x[:1000], 32), 5)
+    for i in range(0, 4000, 1500):
+        search.meet(np.arange(i, min(4000, i + 1500)), x[i : i + 1500])
+    want = np.lexsort((np.arange(4000), -np.where(np.arange(4000) == 17, -np.inf, x @ x[17])))[:5]
+    assert search.found()["vec_id"].to_pylist() == want.tolist() and search.evaluated < 2000
+
+
+@pytest.mark.parametrize("rows", [
+    [(0, [1.0, 0.0]), (1, [0.0, 2.0**47]), (2, [1.0, 0.0])],
+    [(0, [2.0**32, 1.0]), (1, [2.0**32, 0.0]), (2, [-(2.0**32), 5.0]), (3, [2.0**33, 0.0]), (4, [0.5, 7.0])],
+    [(0, [1e300, -1e300]), (1, [1e300, 1e300]), (2, [1e300, 0.0]), (3, [1e307, 0.0]), (4, [-1e20, 3.0]), (5, [1e-9, 1e-9])],
+])
+def test_any_size(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept = [(i, v) for i, v in rows if all(math.isfinite(256 * x) for x in v)]
+    assert sorted(tuple(r) for r in op.top_k(df).collect()) == brute(kept)
 
 
 def test_large_components_are_exact(spark):
