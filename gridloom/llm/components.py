@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is two joins on the node and is written to the shared folder; hubs stay small in the
-grouping (minimum with map-side partial aggregation) and can be split by AQE in the joins.
+Every round is two joins on the node and is written to the shared folder, where it replaces the round before;
+hubs stay small in the grouping (minimum with map-side partial aggregation) and can be split by AQE in the joins.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import discard, materialised
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); the component is the least node that can be reached."""
     state, now = None, materialised(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
     for _ in range(rounds):
-        now = materialised(_small_star(_large_star(now)), "edges")
+        before, now = now, materialised(_small_star(_large_star(now)), "edges")
+        discard(before)
         seen = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

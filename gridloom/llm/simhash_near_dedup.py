@@ -39,7 +39,11 @@ def fingerprint(text: bytes, width: int) -> int:
     if not words:
         return 0
     joined = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in joined), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in joined), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; none: zero."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
