@@ -3,11 +3,12 @@
 DataFrame functions only.  Patterns propose spans; validators confirm them: byte values for addresses,
 the Luhn digit for cards, mod-97 for IBANs, digit counts for phones.  A span's score starts from its
 kind and rises by ``CONTEXT_GAIN`` where one of the kind's context words stands within ``REACH``
-characters before or after it.  The kinds email, ip, card and phone are kept whatever their score; the
+characters before or after it (and before the next match of the kind).  The kinds email, ip, card and phone are kept whatever their score; the
 kinds that the method adds (iban, ssn) are kept from ``LEAST_SCORE`` on.
 
 The patterns are the plain ones, written so that a Java matcher takes linear time and no recursion:
-possessive loops, and starts only where a run starts or the last match ended.
+possessive loops, and starts only where a run starts or the last match ended.  Places of spans are sums over the
+pieces between matches, made by doubling, so a text of n matches takes some n log n steps.
 
 Defined results.  Null text is empty: counts 0 and no spans.  Offsets are code points.  Null ids keep
 their row; repeated rows give repeated rows; an empty table gives an empty result; of the input only the
@@ -96,24 +97,37 @@ def _proposed(kind: str, text: Column) -> Column:
     return F.when(_may_match(kind, text), F.regexp_extract_all(text, F.lit(KINDS[kind][0]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _running(x: Column, join) -> Column:
+    """What ``join`` (a sum, a maximum) makes of the integers from 0 and up to each place of an array, by doubling."""
+    n = F.size(x)
+    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(n)).cast("int") - 1, F.lit(0)))
+
+    def twice(so_far: Column, k: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(0), F.call_function("shiftleft", F.lit(1), k)), so_far)
+        return F.slice(F.zip_with(so_far, moved, join), 1, n)
+
+    return F.aggregate(rounds, x, twice)
+
+
 def _spans(kind: str) -> Column:
     """array<struct<kind,start,stop,score>> of the confirmed matches in columns m_kind and p_kind (pieces)."""
     words = rf"(?i)\b(?:{KINDS[kind][3]})"
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,stop:int,score:double>>").alias("found"))
-    pieces = F.col(f"p_{kind}")
-    pairs = F.arrays_zip(pieces.alias("before"), F.slice(pieces, 2, F.size(pieces)).alias("after"), F.col(f"m_{kind}").alias("match"))
+    matches, pieces = F.col(f"m_{kind}"), F.col(f"p_{kind}")
+    # the pieces have one element more than the matches
+    before, after = F.slice(pieces, 1, F.size(matches)), F.slice(pieces, 2, F.size(matches))
+    stops = _running(F.zip_with(before, matches, lambda b, m: F.length(b) + F.length(m)), lambda a, b: a + b)
+    rows = F.arrays_zip(before.alias("before"), after.alias("after"), matches.alias("match"), stops.alias("stop"))
 
-    def add(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["before"])
-        stop = start + F.length(x["match"])
+    def span(x: Column) -> Column:
         near = F.concat_ws(" ", F.right(x["before"], F.lit(REACH)), F.left(x["after"], F.lit(REACH))).rlike(words)
         score = F.least(F.lit(1.0), F.lit(KINDS[kind][2]) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)))
-        span = F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.round(score, 2).alias("score"))
-        keep = confirmed(kind, x["match"]) & (F.lit(kind in BASE) | (score >= LEAST_SCORE - 1e-9))
-        return F.struct(stop.cast("int").alias("at"), F.when(keep, F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
+        return F.struct(F.lit(kind).alias("kind"), (x["stop"] - F.length(x["match"])).alias("start"), x["stop"].alias("stop"), F.round(score, 2).alias("score"))
 
-    # no matches: nothing to walk over; the pieces have one element more than the matches
-    return F.when(F.size(f"m_{kind}") == 0, state["found"]).otherwise(F.aggregate(F.slice(pairs, 1, F.size(f"m_{kind}")), state, add)["found"])
+    kept = F.filter(rows, lambda x: confirmed(kind, x["match"]))
+    found = F.transform(kept, span)
+    if kind not in BASE:
+        found = F.filter(found, lambda x: x["score"] >= LEAST_SCORE - 1e-9)
+    return F.when(F.size(matches) == 0, F.array().cast("array<struct<kind:string,start:int,stop:int,score:double>>")).otherwise(found)
 
 
 def _matched(docs: DataFrame, text_col: str) -> DataFrame:
@@ -135,15 +149,23 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = _matched(docs, text_col).withColumn("_found", F.concat(*(_spans(k) for k in KINDS))).select(*docs.columns, "_found")
     order = F.array_sort(F.transform("_found", lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(s: Column, x: Column) -> Column:
-        stop = F.greatest(s["at"], -x["back"])
-        more = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(stop.alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(more).alias("out"))
-
-    whole = F.aggregate(order, state, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_found") > 0, whole).otherwise(F.col(text_col))).drop("_found")
+    found = found.withColumn("_found", order).withColumn("_reach", _running(F.transform("_found", lambda x: -x["back"]), lambda a, b: F.greatest(a, b)))
+    # a span that starts before where those before it reach belongs to them
+    ahead = F.concat(F.array(F.lit(0)), F.slice("_reach", 1, F.size("_reach") - 1))
+    first = F.filter(F.arrays_zip(F.col("_found").alias("span"), ahead.alias("ahead"), F.sequence(F.lit(0), F.size("_found") - 1).alias("i")), lambda x: (x["i"] == 0) | (x["span"]["start"] >= x["ahead"]))
+    found = found.withColumn("_first", F.when(F.size("_found") > 0, first))
+
+    def piece(whole: Column, a: Column, z: Column) -> Column:
+        part = F.substring(whole, a * 4 + 1, (z - a) * 4)
+        return F.concat(F.when(F.hex(F.substring(part, 1, 4)) == "0000FEFF", "\ufeff").otherwise(""), F.decode(part, "UTF-32"))
+
+    def rewritten(whole: Column) -> Column:
+        parts = F.transform("_first", lambda x: F.concat(piece(whole, x["ahead"], x["span"]["start"]), F.lit("["), F.upper(x["span"]["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), piece(whole, F.element_at("_reach", -1), (F.octet_length(whole) / 4).cast("int")))
+
+    # four bytes a character, so that a piece is found by its place; an element of an array, which is not copied at each use as a column would be
+    whole = F.transform(F.array(F.encode(text, "UTF-32")), rewritten)[0]
+    return found.withColumn(text_col, F.when(F.size("_found") > 0, whole).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def _listed(kinds: tuple[str, ...] | None = None) -> Column:
