@@ -7,7 +7,7 @@ spread are merged, heaviest window against lightest, until one is left.  The win
 equal.  Whenever one exceeds the capacity the window count rises and all is differenced anew, until none does.
 
 Two or three remainders a window can't be levelled by any partition, and the count would rise far.  So, as documents may
-be cut, the longest remainders (``FILLER`` of the tokens) are cut small before, to fill what the others leave.
+be cut, the shortest remainders (``FILLER`` of the tokens) are cut small before, to fill what the others leave.
 
 Defined results.  Null text is empty: one piece holding the end id.  Rows whose doc_id is null are packed
 with a null doc_id.  Repeated rows are packed as often as they occur; an empty table gives an empty
@@ -41,7 +41,7 @@ GROUP_TOKENS = 1 << 20
 #: Pieces of words whose ids a worker remembers (and as many older ones), and the letters of the longest such.
 REMEMBERED, LONG = 300_000, 64
 #: Bytes of texts whose words are looked up together (one text at least), and words whose ids are laid out together.
-BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 24, 1 << 20
+BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 23, 1 << 20
 #: Part of the remainders' tokens that is cut small, and how many such pieces make a window.
 FILLER, FILLERS_A_WINDOW = 0.1, 32
 
@@ -229,7 +229,9 @@ def packed(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
         return pieces
     rest = _with_filler(rest, capacity)
     sizes = [n for _, _, n in rest]
-    count, rises = -(-sum(sizes) // capacity), 0
+    # with room for what fillers leave uneven
+    room = capacity // FILLERS_A_WINDOW // 8 if sum(sizes) > capacity else 0
+    count, rises = -(-sum(sizes) // (capacity - room)), 0
     to, loads = differencing(sizes, count)
     while loads.max() > capacity:
         rises += 1
@@ -248,13 +250,13 @@ def packed(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
 
 
 def _with_filler(rest: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int, int]]:
-    """The remainders, of which the longest, together a part of FILLER, are cut small, so that windows can become nearly equal."""
+    """The remainders, of which the shortest, together a part of FILLER, are cut small, so that windows can become nearly equal."""
     total = sum(n for _, _, n in rest)
     if total <= capacity:
         return rest
     left, small = total * FILLER, max(1, capacity // FILLERS_A_WINDOW)
     out = []
-    for i, start, n in sorted(rest, key=lambda x: -x[2]):
+    for i, start, n in sorted(rest, key=lambda x: x[2]):
         if left > 0:
             left -= n
             out += [(i, at, min(small, start + n - at)) for at in range(start, start + n, small)]
