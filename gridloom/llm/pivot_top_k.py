@@ -37,7 +37,8 @@ SCALE = 256
 BLOCK = 16_384
 PIVOTS = 32
 SAMPLE = 1024
-STEP = 64
+#: Candidates of a query that are evaluated first, and how steps grow.
+STEP, GROWTH = 64, 16
 _SCHEMA = "query_id long, vec_id long, score long"
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -67,9 +68,8 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products as longs, or the nearest long."""
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(query).max(initial=0)) * x.shape[1]
+def scores(x: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products as longs, or the nearest long; most: what no sum of absolute products is above."""
     if most < 2**53:
         return (x @ query).astype(np.int64)
     if most < 2**63:
@@ -93,6 +93,7 @@ class Search:
         with np.errstate(over="ignore", invalid="ignore"):
             table, square = np.ascontiguousarray(distances(x, self.pivots).T), (x * x).sum(axis=1)
             apart = np.empty_like(table)
+            largest = float(np.abs(x).max(initial=0)) * x.shape[1]
             for i in range(len(self.ids)):
                 np.subtract(table, self.table[i][:, None], out=apart)
                 np.abs(apart, out=apart)
@@ -101,10 +102,10 @@ class Search:
                 upper = (size - bound * bound) / 2 + 1.0 + 1e-6 * size
                 # sums over all doubles bound nothing
                 upper[np.isnan(upper)] = np.inf
-                self._evaluate(i, ids, x, upper)
+                self._evaluate(i, ids, x, upper, largest * float(np.abs(self.vectors[i]).max(initial=0)))
 
-    def _evaluate(self, i: int, ids: np.ndarray, x: np.ndarray, upper: np.ndarray) -> None:
-        """Candidates in the order of their bounds, until the k-th score beats all bounds that are left."""
+    def _evaluate(self, i: int, ids: np.ndarray, x: np.ndarray, upper: np.ndarray, most: float) -> None:
+        """Candidates in the order of their bounds, in growing steps, until the k-th score beats all bounds that are left."""
         best_id, best_score = self.best[i]
         alive, step = np.flatnonzero(ids != self.ids[i]), max(STEP, self.k)
         while True:
@@ -118,11 +119,17 @@ class Search:
             else:
                 part, alive = alive, alive[:0]
             self.evaluated += len(part)
-            best_score = np.concatenate([best_score, scores(x[part], self.vectors[i])])
+            # most of a batch that is left is cheaper to multiply where it lies
+            found = scores(x, self.vectors[i], most)[part] if 2 * len(part) > len(x) and most < 2**53 else scores(x[part], self.vectors[i], most)
+            best_score = np.concatenate([best_score, found])
             best_id = np.concatenate([best_id, ids[part]])
+            if len(best_score) > self.k:
+                # those that tie with the k-th stay for the order by id
+                high = best_score >= np.partition(best_score, -self.k)[-self.k]
+                best_score, best_id = best_score[high], best_id[high]
             top = np.lexsort((best_id, ~best_score))[: self.k]
             best_id, best_score = best_id[top], best_score[top]
-            step *= 2
+            step *= GROWTH
         self.best[i] = best_id, best_score
 
     def found(self) -> pa.RecordBatch:
