@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of ids (a long or two each) that are sent to all executors at most; more are joined by shuffles.
 SENT_ROWS = 1 << 20
 
@@ -33,9 +35,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage ends there, and lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    # what was shuffled for it isn't read again
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
     return out
 

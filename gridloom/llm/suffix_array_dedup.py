@@ -5,9 +5,10 @@ the most significant digit on, and a window that is alone after a pass has no eq
 
 1. Leading digit: the hash of the window's anchor (see window_kernel).  The windows of a run share it, so
    one row stands for about 35 windows.  Rows are dealt to tasks by this digit.
-2. Runs with equal leading digit and equal content are wholly repeated, but for the earliest one.
-3. Groups that hold different runs are ordered through the last byte: each window's remaining digits,
-   as one 64-bit hash beside the leading digit.  Equal groups are exactly the repeated windows.
+2. Runs with equal leading digit and equal content (by a second 64-bit hash, over all bytes) are wholly
+   repeated, but for the earliest one.
+3. Groups that hold different runs are ordered by their bytes, eight at a time from the first on, through the
+   last: of each class only windows that are equal so far go on.  Classes at the end are exactly the repeated windows.
 
 Each map task keeps, of equal runs or windows, the earliest only, so a key has a row a task at most;
 leading digits with over ``split_at`` different runs are dealt by window in pass 3 instead of by digit.
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import window_kernel as wk
-from .common import materialised, slices, text_bytes, with_row
+from .common import materialised, slices, text_bytes
 
 GRAM = 24
 #: Rows that a task gathers before it drops its own repeats.
 GATHER = 500_000
+#: Bytes of runs that a task orders together, and the groups that end beyond them.
+BODIES = 1 << 22
 LONE, DONE, OPEN = 0, 1, 2
 _LAST = np.iinfo(np.int64).max
 
@@ -141,44 +144,51 @@ def _texts_of_open(depth: int):
 
 
 def _last_digits(depth: int):
-    """Pass 3, second half: windows of a task's runs ordered by key and content; all but the earliest of equals are repeats."""
+    """Pass 3, second half: windows of runs that come ordered by key, by their bytes; all but the earliest of equals are repeats."""
 
-    def repeats(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def repeats(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         done = t["done"].to_numpy()
         key, doc, row, at = (t[c].to_numpy() for c in ("key", "doc", "_row", "at"))
         bodies = [x or b"" for x in t["body"].to_pylist()]
         size = np.fromiter(map(len, bodies), np.int64, len(bodies))
         n = np.where(done, 0, np.maximum(size - depth + 1, 0))
-        out_row, out_at, out_n = [row[done]], [at[done]], [np.ones(done.sum(), np.int64)]
-        if n.sum():
-            grams = wk.gram_hashes(np.frombuffer(b"".join(bodies), np.uint8), depth)
-            owner = np.repeat(np.arange(len(n)), n)
-            shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            content = grams[np.repeat(np.cumsum(size) - size, n) + shift]
-            k, d, r, p = key[owner], doc[owner], row[owner], at[owner] + shift
-            order = np.lexsort((p, r, d, content, k))
-            again = ~_starts(k[order], content[order])
-            out_row.append(r[order][again])
-            out_at.append(p[order][again])
-            out_n.append(np.ones(again.sum(), np.int64))
-        r, p, m = (np.concatenate(x) for x in (out_row, out_at, out_n))
+        owner = np.repeat(np.arange(len(n)), n)
+        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        equal = wk.classes(np.frombuffer(b"".join(bodies), np.uint8), np.repeat(np.cumsum(size) - size, n) + shift, key[owner], depth)
+        several = np.flatnonzero(equal >= 0)
+        owner, p, equal = owner[several], at[owner[several]] + shift[several], equal[several]
+        order = np.lexsort((p, row[owner], doc[owner], equal))
+        again = order[~_starts(equal[order])]
+        r, p = np.concatenate([row[done], row[owner[again]]]), np.concatenate([at[done], p[again]])
         order = np.lexsort((p, r))
         r, p = r[order], p[order]
         # neighbouring windows become one span
         new = _starts(r) | np.r_[True, p[1:] != p[:-1] + 1][: len(p)]
         first = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array(p[first]), pa.array(np.diff(np.append(first, len(p))).astype(np.int32))], names=["_row", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array(p[first]), pa.array(np.diff(np.append(first, len(p))).astype(np.int32))], names=["_row", "at", "n"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            yield from repeats(parts)
+        held, size, last = [], 0, None
+        for b in (x for x in batches if x.num_rows):
+            key = b["key"].to_numpy()
+            if size >= BODIES:
+                # whole groups only
+                turns = np.flatnonzero(np.append(key[0] != last, key[1:] != key[:-1]))
+                if len(turns):
+                    at = int(turns[-1])
+                    yield repeats([*held, b.slice(0, at)])
+                    held, size, b = [], 0, b.slice(at)
+            held.append(b)
+            size += b["body"].nbytes
+            last = key[-1]
+        if held:
+            yield repeats(held)
 
     return over
 
 
-def _cut(depth: int, as_text: bool):
+def _cut(depth: int, as_text: bool, carried: list[str]):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(a, z - a) for x in batches for a, z in slices(x.num_rows)):
             kept, removed, spans, sha, size = [], [], [], [], []
@@ -198,8 +208,8 @@ def _cut(depth: int, as_text: bool):
                 spans.append([{"start": a, "end": z} for a, z in ends])
                 sha.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["_row"], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                names=["doc_id", "_row", "n_bytes", "n_removed", "kept_sha256", "kept", "spans"],
+                [b["doc_id"], b["_row"], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), *(b[c] for c in carried)],
+                names=["doc_id", "_row", "n_bytes", "n_removed", "kept_sha256", "kept", "spans", *carried],
             )
 
     return over
@@ -213,33 +223,38 @@ def _packed(at: str = "at", n: str = "n"):
 def repeated_windows(rows: DataFrame, depth: int = 100, split_at: int = 4096) -> tuple[DataFrame, DataFrame]:
     """The texts dealt by row, and (_row, at, n): n neighbouring windows from byte ``at`` on that also start earlier.
 
-    rows: (doc_id, text, _row), a stored table.
+    rows: (doc_id, text, _row) and what is carried along, a stored table.
     """
     runs = rows.mapInArrow(_first_digit(depth, min(64, split_at)), "key long, digest long, doc long, _row long, at long, n int, digit long, state byte, several boolean")
     marked = materialised(_marked(runs, split_at), "runs")
     dealt = rows.repartition(F.col("_row"))
+    texts = dealt.select("doc_id", "text", "_row")
     still = marked.where(F.col("state") == OPEN).groupBy("_row").agg(F.collect_list(F.struct(_packed().alias("s"), "digit", "many")).alias("x"))
     still = still.select("_row", F.col("x.s").alias("spots"), F.col("x.digit").alias("digits"), F.col("x.many").alias("many"))
-    bodies = dealt.join(still.hint("shuffle_hash"), "_row").select("doc_id", "text", "_row", "spots", "digits", "many").mapInArrow(_texts_of_open(depth), "key long, doc long, _row long, at long, done boolean, body binary")
+    bodies = texts.join(still.hint("shuffle_hash"), "_row").select("doc_id", "text", "_row", "spots", "digits", "many").mapInArrow(_texts_of_open(depth), "key long, doc long, _row long, at long, done boolean, body binary")
     spread = F.when(F.col("done"), F.xxhash64("_row", "at")).otherwise(F.col("key"))
-    found = bodies.withColumn("key", spread).repartition(F.col("key")).mapInArrow(_last_digits(depth), "_row long, at long, n int")
+    found = bodies.withColumn("key", spread).repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_last_digits(depth), "_row long, at long, n int")
     return dealt, marked.where(F.col("state") == DONE).select("_row", "at", "n").union(found)
 
 
-def deduplicated(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", split_at: int = 4096, as_text: bool = False, row_col: str | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, kept_sha256, kept and the removed byte spans.
+def deduplicated(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", split_at: int = 4096, as_text: bool = False, row_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, kept_sha256, kept, the removed byte spans, and the columns ``keep``.
 
     kept: the bytes that stay; as_text: as a string, without the bytes of characters that a cut went through.
     row_col: row ids of docs, which then is a stored table; else texts are written with new ones, as several jobs read them.
     """
+    carried = {f"_keep{i}": c for i, c in enumerate(keep)}
+    others = [F.col(c).alias(k) for k, c in carried.items()]
     if row_col:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(row_col).alias("_row"))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(row_col).alias("_row"), *others)
     else:
-        rows = materialised(with_row(docs, id_col, text_col), "texts")
+        rows = materialised(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("_row"), *others), "texts")
     dealt, spans = repeated_windows(rows, depth, split_at)
     spots = spans.groupBy("_row").agg(F.collect_list(_packed()).alias("spots"))
-    out = dealt.join(spots.hint("shuffle_hash"), "_row", "left").select("doc_id", "_row", "text", "spots")
-    return out.mapInArrow(_cut(depth, as_text), f"doc_id long, _row long, n_bytes long, n_removed long, kept_sha256 string, kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>")
+    out = dealt.join(spots.hint("shuffle_hash"), "_row", "left").select("doc_id", "_row", "text", "spots", *carried)
+    kinds = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in carried)
+    cut = out.mapInArrow(_cut(depth, as_text, list(carried)), f"doc_id long, _row long, n_bytes long, n_removed long, kept_sha256 string, kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>{kinds}")
+    return cut.select("doc_id", "_row", "n_bytes", "n_removed", "kept_sha256", "kept", "spans", *(F.col(k).alias(c) for k, c in carried.items()))
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -51,6 +51,29 @@ def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
         width *= 2
 
 
+def classes(buf: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """For the window of ``depth`` bytes from each place of ``at`` on: a number that it shares with equal windows of its group; -1 where there is none.
+
+    Most-significant-digit passes: a digit is eight bytes, read as one integer with the first byte highest.  Each pass orders
+    the windows of a class by their next digit, and only those that are equal to another so far go on.
+    """
+    digit_at = np.ndarray(max(0, len(buf) - 7), ">u8", buf, strides=(1,))
+    out = np.unique(group, return_inverse=True)[1].astype(np.int64)
+    active = np.arange(len(at))
+    for offset in [*range(0, depth - 8, 8), depth - 8]:
+        digit = digit_at[at[active] + offset].astype(np.uint64)
+        order = np.lexsort((digit, out[active]))
+        active, digit = active[order], digit[order]
+        own = out[active]
+        new = np.ones(len(active), bool)
+        new[1:] = (own[1:] != own[:-1]) | (digit[1:] != digit[:-1])
+        number = np.cumsum(new) - 1
+        equal = (np.bincount(number) > 1)[number] if len(active) else new
+        out[active] = np.where(equal, number, -1)
+        active = active[equal]
+    return out
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     step = 1
     while step * 2 <= width:
