@@ -31,8 +31,9 @@ from .common import with_row
 _SENTENCE = r"(?:(?:notice|holder|owner|ownership|law|license|licence|line|statement|interest|treat(?:y|ie)|permission|disclaimer|doctrine|claim|protection|right)s?|also|and|or|are|is|if|in|of|on|to|for|from|any|all|as|at|an?|under|you|your|including|like|more|patent|related|similar|resulting|then|that|this|those|these|which|must|shall|may|not|(?:the|its) (?:software|program|work|library|licensor|licensed|source|original|covered|above|following|copyright))\b"
 #: Lines that state who holds the copyright, in lower case.
 COPYRIGHT = rf"^[^a-z0-9]*(?:all rights reserved|(?:copyright[^\p{{L}}\p{{N}}]*)?©|(?:copyright[^\p{{L}}\p{{N}}]*)?\(c\)[^\p{{L}}\p{{N}}]*(?:$|(?!{_SENTENCE})[\p{{L}}\p{{N}}])|copyright(?![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}]*(?!{_SENTENCE})[\p{{L}}\p{{N}}])"
-#: The wider rule that the SQL states: it also takes wrapped lines that go on with a sentence.
-_SQL_COPYRIGHT = r"^[^a-z0-9]*(?:copyright|\(c\)|©|all rights reserved)"
+#: The same without looking ahead, for the SQL: (a line has, but has not).
+_SIGN, _WORD = r"^[^a-z0-9]*(?:copyright[^\p{L}\p{N}]*)?\(c\)[^\p{L}\p{N}]*", r"^[^a-z0-9]*copyright[^\p{L}\p{N}]+"
+SQL_COPYRIGHT = ((r"^[^a-z0-9]*(?:all rights reserved|(?:copyright[^\p{L}\p{N}]*)?©)", None), (_SIGN + r"(?:$|[\p{L}\p{N}])", _SIGN + _SENTENCE), (_WORD + r"[\p{L}\p{N}]", _WORD + _SENTENCE))
 #: Lines that a notice can be; every known notice has one of these words.
 NAMES_A_LICENSE = r"(?i)licen[cs]|public domain"
 #: Equivalent spellings, over canonical words.
@@ -125,10 +126,14 @@ def entire() -> list[tuple[str, str]]:
     return out
 
 
-def known(spark: SparkSession) -> DataFrame:
+def known_texts() -> list[tuple[str, str]]:
     """(license, text): the texts above, those of the files, and the notices by rule."""
     notices = [(i, n.format(name, i)) for i, names in LICENSES for name in names for n in NOTICES]
-    return spark.createDataFrame([*TEXTS, *entire(), *HEADER_LINES, *dict.fromkeys(notices)], "license string, text string")
+    return [*TEXTS, *entire(), *HEADER_LINES, *dict.fromkeys(notices)]
+
+
+def known(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(known_texts(), "license string, text string")
 
 
 def _java(replacement: str) -> str:
@@ -173,15 +178,17 @@ def _sql_text(x: str) -> str:
 
 
 def _sql_canonical(c: str) -> str:
-    words = f"trim(regexp_replace(array_to_string(list_filter(string_split(lower({c}), chr(10)), lambda x: NOT regexp_matches(x, {_sql_text(_SQL_COPYRIGHT)})), ' '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    states = " OR ".join(f"(regexp_matches(x, {_sql_text(has)})" + (f" AND NOT regexp_matches(x, {_sql_text(has_not)})" if has_not else "") + ")" for has, has_not in SQL_COPYRIGHT)
+    words = f"trim(regexp_replace(array_to_string(list_filter(string_split(lower({c}), chr(10)), lambda x: NOT ({states})), ' '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for pattern, replacement in SPELLINGS:
         words = f"regexp_replace({words}, {_sql_text(pattern)}, {_sql_text(replacement.replace('{1}', chr(92) + '1').replace('{2}', chr(92) + '2'))}, 'g')"
     return words
 
 
-_KNOWN = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in dict.fromkeys([*TEXTS, *((i, n.format(name, i)) for i, names in LICENSES for name in names for n in NOTICES)]))
+_KNOWN = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in dict.fromkeys(known_texts()))
 SQL = f"""
-    WITH k AS (SELECT sha256({_sql_canonical("text")}) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) t(license, text) GROUP BY 1),
+    WITH c AS (SELECT license, {_sql_canonical("text")} AS words FROM (VALUES {_KNOWN}) t(license, text)),
+    k AS (SELECT sha256(words) AS digest, min(license) AS license FROM c WHERE words <> '' GROUP BY 1),
     d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
     l AS (SELECT row, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
     n AS (SELECT row, line, sha256({_sql_canonical("body")}) AS digest FROM l WHERE regexp_matches(body, '{NAMES_A_LICENSE}')),

@@ -1,5 +1,7 @@
 import textwrap
 
+import duckdb
+
 from gridloom.llm import license_scan as op
 
 NO_TEXT = {"AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "EPL-2.0"}
@@ -69,3 +71,16 @@ def test_statements_of_ownership(spark):
     prose = ["copyright notice", "Copyright holders agree.", "(c) You must retain", "copyright law", "Copyrighted by A", "copyright"]
     got = scanned(spark, [f"{x}\n{mit}" for x in stated + prose])
     assert [got[k][0] for k in range(len(stated + prose))] == ["MIT"] * len(stated) + [None] * len(prose)
+
+
+def test_sql_on_entire_texts(spark, tmp_path):
+    known = [*op.TEXTS, *op.entire()]
+    mit = op.TEXTS[0][1]
+    texts = [t for _, t in known] + [wrapped(t, 64) for _, t in known] + [APACHE, None, ""]
+    texts += [f"{x}\n{mit}" for x in ("Copyright (c) 2020 A", "(c)", "© A B", "(c) You must retain", "Copyright holders agree.", "copyright law", "COPYRIGHT: The Regents", "Copyright (C) the software", "All rights reserved.", "Copyrighted by A", "copyright")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op.op3_license_scan(spark, f"file://{tmp_path}").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, con.execute(op.SQL).fetchall()))
+    assert sum(r["license"] is not None for r in got) >= 2 * len(known) - 40
