@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialised
 from .window_kernel import splitmix
 
 HASHES = 4
@@ -203,7 +204,11 @@ def predict(docs: DataFrame, model: LanguageFilter | None, text_col: str = "text
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with lang_pred, score and coverage, learned from their labelled rows that are not held out."""
     train = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return predict(docs, fit(trigram_counts(train)), text_col, keep)
+    # written, as the filter's making reads them three times
+    counts = materialised(trigram_counts(train), "trigrams")
+    model = fit(counts)
+    discard(counts)
+    return predict(docs, model, text_col, keep)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
