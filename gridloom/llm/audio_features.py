@@ -6,7 +6,8 @@ segments by hysteresis of frame energy (a segment opens above the upper threshol
 lower one).  Log-mel frames are cut into patches of one shape; an Arrow IPC stream holds them as a
 fixed_shape_tensor column beside each patch's time span.
 
-Every text is computed by itself, block by block, so equal payloads give equal bytes wherever they run.
+Every text is computed by itself, ``BLOCK`` frames at a time, so equal payloads give equal bytes wherever they run
+and a long one takes little more memory than its stored form and its tensors.
 
 Defined results.  Null text is empty; the payload is padded with bytes 255 to a positive multiple of 576,
 so every text has at least one frame.  Null ids keep their row; repeated rows give repeated rows; an
@@ -41,7 +42,8 @@ PATCH = 32
 #: Decibels of a frame above the mean energy that open a segment, and below it that close one.
 OPENS, CLOSES = 1.0, -1.0
 FLOOR = 1e-6
-_BLOCK = 1 << 16
+#: Frames whose signal is made at once.
+BLOCK = 1024
 
 
 def payload(text: bytes) -> bytes:
@@ -77,25 +79,29 @@ def _low_pass(up: int, down: int, zeros: int = 8) -> np.ndarray:
     return (taps / taps.sum() * up).astype(np.float32)
 
 
-def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Polyphase resampling: each output phase uses its own taps on the input as it is, without zero stuffing."""
+def resample(x: np.ndarray, up: int, down: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Polyphase resampling, of which the samples from start to stop: each output phase uses its own taps on the input as it is, without zero stuffing.
+
+    x: the wave, or 8-bit samples of it, of which only what the range needs is turned into numbers between -1 and 1.
+    """
     taps = _low_pass(up, down)
     half = len(taps) // 2
     count = -(-len(x) * up // down)
-    out = np.zeros(count, np.float32)
-    lead = -(-half // up) + 1
-    padded = np.concatenate([np.zeros(lead, np.float32), x, np.zeros(lead + down, np.float32)])
-    for r in range(min(up, count)):
-        centre = r * down + half
-        phase = taps[centre % up :: up]
-        n = len(out[r::up])
-        first = centre // up + lead
-        acc = np.zeros(n, np.float32)
+    start, stop = min(start, count), count if stop is None else min(stop, count)
+    out = np.zeros(stop - start, np.float32)
+    for r in range(up):
+        t = max(0, -(-(start - r) // up))
+        part = out[r + t * up - start :: up]
+        if not len(part):
+            continue
+        phase = taps[(r * down + half) % up :: up]
+        lo = (r * down + half) // up + t * down - (len(phase) - 1)
+        near = np.zeros(len(phase) + (len(part) - 1) * down, np.float32)
+        a, z = max(lo, 0), min(lo + len(near), len(x))
+        if z > a:
+            near[a - lo : z - lo] = (x[a:z].astype(np.float32) - 128) / 128 if x.dtype == np.uint8 else x[a:z]
         for k, tap in enumerate(phase):
-            start = first - k
-            part = padded[max(start, 0) : start + (n - 1) * down + 1 : down] if start >= 0 else padded[:0]
-            acc[: len(part)] += tap * part
-        out[r::up] = acc
+            part += tap * near[len(phase) - 1 - k :][: (len(part) - 1) * down + 1 : down]
     return out
 
 
@@ -117,13 +123,17 @@ def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if short:
         y = np.concatenate([y, np.zeros(short, np.float32)])
     views = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
-    window = np.hanning(FRAME).astype(np.float32)
-    mels, energy = [], []
-    for i in range(0, len(views), 1024):
-        power = np.abs(np.fft.rfft(views[i : i + 1024] * window, axis=1)) ** 2
-        mels.append(np.log(power @ mel_bank() + FLOOR))
-        energy.append(10 * np.log10(power.mean(axis=1) + FLOOR))
-    return (np.round(np.concatenate(mels) * 256) / 256).astype(np.float32), np.concatenate(energy)
+    power = np.abs(np.fft.rfft(views * np.hanning(FRAME).astype(np.float32), axis=1)) ** 2
+    mels = np.log(power @ mel_bank() + FLOOR)
+    return (np.round(mels * 256) / 256).astype(np.float32), 10 * np.log10(power.mean(axis=1) + FLOOR)
+
+
+def features(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Log-mel energies and frame energies of 8-bit samples, and how many samples the signal has after resampling; ``BLOCK`` frames at a time."""
+    size = -(-len(samples) * UP // DOWN)
+    frames = 1 + max(0, -(-(size - FRAME) // HOP))
+    parts = [log_mel(resample(samples, UP, DOWN, i * HOP, (min(i + BLOCK, frames) - 1) * HOP + FRAME)) for i in range(0, frames, BLOCK)]
+    return np.concatenate([m for m, _ in parts]), np.concatenate([e for _, e in parts]), size
 
 
 def segments(energy: np.ndarray) -> np.ndarray:
@@ -176,12 +186,10 @@ def audio_features(media: DataFrame) -> DataFrame:
             size.append(len(samples))
             sha.append(hashlib.sha256(samples).hexdigest())
             crc.append(zlib.crc32(samples[-32:]))
-            wave_form = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-            signal = resample(wave_form, UP, DOWN)
-            mels, energy = log_mel(signal)
+            mels, energy, length = features(np.frombuffer(samples, np.uint8))
             frames.append(len(mels))
-            spans.append([{"start_s": a * HOP / RATE, "end_s": min((z - 1) * HOP + FRAME, len(signal)) / RATE} for a, z in segments(energy).tolist()])
-            patches.append(tensors(mels, len(signal)))
+            spans.append([{"start_s": a * HOP / RATE, "end_s": min((z - 1) * HOP + FRAME, length) / RATE} for a, z in segments(energy).tolist()])
+            patches.append(tensors(mels, length))
         span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
         return pa.RecordBatch.from_arrays(
             [b["doc_id"], b["n_bytes"], b["media"], pa.array(size, pa.int64()), pa.array(sha), pa.array(crc, pa.int64()), pa.array(frames, pa.int64()), pa.array(spans, span), pa.array(patches, pa.binary())],
