@@ -9,7 +9,7 @@ own, and writes a sidecar index of (part, offset, length, record).  Members are
 so the files are ordinary multi-member archives.  ``read_records`` reads members by the index.
 
 Everything is read and written through Spark, so archives can be in any store that it opens.  A file is
-one task's work; ``records_a_file`` bounds the files that are written here.
+one task's work; ``records_a_file`` bounds the files that are written here, by records and by bytes.
 
 Defined results.  Null html is an empty payload; a null url leaves the header out; spaces and control
 characters in a url are percent-encoded.  A row whose id is null has a record with an empty id and takes
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialised, new_path
 
 LEAST = 1000
-RECORDS_A_FILE = 20_000
+#: A file is one task's work and one cell when it is read: its records and bytes, and what a record's header takes.
+RECORDS_A_FILE, FILE_BYTES, HEADER_BYTES = 20_000, 1 << 28, 500
 CRLF = "\r\n"
 END = "\r\n\r\n"
 #: A gzip member without content, which separates members in a file.
@@ -74,6 +75,12 @@ def record(date: str) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(END), block)
 
 
+def records_a_file(pages: DataFrame, html_col: str = "html", most_bytes: int = FILE_BYTES) -> int:
+    """How many records make a file of about ``most_bytes`` before compression, by the pages' mean size; RECORDS_A_FILE at most."""
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html_col), F.lit(0)))).first()[0] or 0
+    return max(1, min(RECORDS_A_FILE, int(most_bytes / (mean + HEADER_BYTES))))
+
+
 def write_archive(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_a_file: int = RECORDS_A_FILE) -> None:
     """Monolithic gzip files of the records of ``marked`` rows."""
     out = rows.select(record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip")
@@ -221,7 +228,8 @@ def _parsed(data: memoryview, entries: list[dict]) -> pa.RecordBatch:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2 over all pages: written, normalised and read back."""
     source, target = new_path(spark, "warc"), new_path(spark, "normalised")
-    write_archive(marked(spark.read.parquet(f"{sf_dir}/pages.parquet")), source)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write_archive(marked(pages), source, records_a_file=records_a_file(pages))
     normalise(spark, source, target)
     return read_records(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -53,3 +54,31 @@ def test_blocks_give_the_trigrams_of_whole_texts():
     whole = [(g, o) for gram, owner in op.trigrams(texts) for g, o in zip(gram.tolist(), owner.tolist(), strict=True)]
     for block in (1, 2, 5, 16):
         assert [(g, o) for gram, owner in op.trigrams(texts, block) for g, o in zip(gram.tolist(), owner.tolist(), strict=True)] == whole
+
+
+def plain_grams(text):
+    """Letter trigrams with word edges, counted."""
+    letters = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    return Counter(letters[i - 1 : i + 2] for i in range(1, len(letters) - 1) if letters[i] != " ")
+
+
+def test_plain_sets_decide_alike(spark):
+    """The same sets without filters: predictions are equal but where two languages are as good as alike."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    sums = defaultdict(Counter)
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None:
+            sums[r["lang"]].update(plain_grams(r["text"]))
+    share = {lang: {g: n / c.total() for g, n in c.items() if n / c.total() >= op.LEAST_SHARE} for lang, c in sums.items()}
+    own = {lang: {g for g, x in s.items() if x * op.FOREIGN >= max(o.get(g, 0) for o in share.values())} for lang, s in share.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["coverage"]) for r in op.op4_language_id(spark, "/root/testdata/sf0.01").collect()}
+    assert sorted(got) == sorted(r["doc_id"] for r in rows)
+    for r in rows:
+        grams = plain_grams(r["text"])
+        if not grams:
+            assert got[r["doc_id"]][0] == op.UNKNOWN
+            continue
+        held = {lang: sum(n for g, n in grams.items() if g in s) / grams.total() for lang, s in own.items()}
+        best = max(held.values())
+        pred, coverage = got[r["doc_id"]]
+        assert held[pred] >= best - 0.02 and abs(coverage - held[pred]) <= 0.02

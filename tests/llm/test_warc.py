@@ -69,3 +69,9 @@ def test_ties_and_empty(spark):
     _, _, got = read(spark, twice)
     assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got.collect()) == [(2, "revisit", 4), (4, "response", None), (4, "response", None)]
     assert read(spark, twice.limit(0))[2].collect() == []
+
+
+def test_large_pages_make_files_of_fewer_records(spark):
+    assert warc.records_a_file(spark.createDataFrame([("x" * 500,), (None,)], "html string"), most_bytes=75_000) == 100
+    assert warc.records_a_file(spark.createDataFrame([("x" * 500_000,)], "html string"), most_bytes=1000) == 1
+    assert warc.records_a_file(spark.createDataFrame([], "html string")) == warc.RECORDS_A_FILE
