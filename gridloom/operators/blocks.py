@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import kind
 from ..functions.names import safe_name
+from ..sources.store import written
 
 HEADER_SCAN, ROWS_BELOW, SAMPLE_ROWS, LEAST_SCORE = 8, 2, 50, 2
+#: Rows that a header can take above and below its best one.
+BAND_UP, BAND_DOWN = 3, 2
 LEAST_ROWS, LEAST_CELLS = 2, 3
+SUBSTANTIAL_ROWS, FRAGMENT_ROWS, FORM_ROWS = 3, 2, 6
+# What trailing and totals rows start with.
 JUNK = r"(?i)^(total|grand total|subtotal|sum|note|source|footnote)\b"
 TOTALS = r"(?i)^(sub\s*total|total|grand\s*total|net|gross|balance|c?gst|sgst|igst|vat|tax|discount|freight|round\s*off|amount\s+in\s+words)\b"
 TOTALS_SHARE = 0.6
 SHEET = ("file", "sheet")
 REGION = (*SHEET, "region")
-#: Rounds of cutting by empty rows, then by empty columns.
+#: Rounds of cutting by empty rows, then by empty columns; a cut is a row's and a column's, so six deep.
 ROUNDS = 3
 
 
@@ -43,56 +48,145 @@ def regions(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def viable(found: DataFrame) -> DataFrame:
     """Regions of at least two rows and three cells: their extent and numbers."""
-    box = found.groupBy(*REGION).agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"), F.count(F.lit(1)).alias("cells"))
-    return box.where((F.col("bottom") - F.col("top") + 1 >= LEAST_ROWS) & (F.col("cells") >= LEAST_CELLS))
+    return extents(found).where((F.col("bottom") - F.col("top") + 1 >= LEAST_ROWS) & (F.col("cells") >= LEAST_CELLS))
 
 
-def header_scores(found: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(region, row, score) of the first rows of every viable region."""
-    inside = found.join(boxes, list(REGION)).withColumn("kind", kind(F.col("value")))
+def row_facts(cells: DataFrame) -> DataFrame:
+    """(region, row, cols, values, populated, words, different, wordy, label, doubled, numbering) of rows of cells.
+
+    wordy: seven in ten are no figures; label: wordy and none ends with a colon; doubled: a value stands twice side by
+    side; numbering: counts up from 1 or 2 in steps of 2 at most.
+    """
+    order = Window.partitionBy(*REGION, "row").orderBy("col")
+    low = F.lower(F.trim("value"))
+    beside = cells.withColumn("twice", (F.lag("col").over(order) == F.col("col") - 1) & (F.lag(low).over(order) == low))
+    facts = beside.groupBy(*REGION, "row").agg(
+        F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"),
+        F.count(F.lit(1)).alias("populated"),
+        F.count_if(kind(F.trim("value")) == "text").alias("words"),
+        F.count_distinct(low).alias("different"),
+        F.coalesce(F.bool_or("twice"), F.lit(False)).alias("doubled"),
+        F.bool_or(F.trim("value").endswith(":")).alias("colon"),
+    )
+    values = F.transform("cells", lambda c: c["value"])
+    numbers = F.transform(values, lambda v: F.trim(v).try_cast("int"))
+    steps = F.zip_with(F.slice(numbers, 1, F.size(numbers) - 1), F.slice(numbers, 2, F.size(numbers)), lambda a, b: b - a)
+    numbering = (F.size(numbers) >= 3) & F.forall(numbers, lambda n: n.isNotNull()) & (F.element_at(numbers, 1) <= 2) & F.forall(F.slice(steps, 1, F.size(numbers) - 1), lambda d: d.between(0, 2))
+    wordy = F.col("words") >= 0.7 * F.col("populated")
+    return facts.select(*REGION, "row", F.transform("cells", lambda c: c["col"]).alias("cols"), values.alias("values"), "populated", "words", "different", wordy.alias("wordy"), (wordy & ~F.col("colon")).alias("label"), "doubled", F.coalesce(numbering, F.lit(False)).alias("numbering"))
+
+
+def labels_group(upper: Column, below_cols: Column) -> Column:
+    """Whether a row labels groups of the columns that the row below names: repeated across them, or over some of them only."""
+    some = (F.size(F.array_except(upper["cols"], below_cols)) == 0) & (F.size(upper["cols"]) < F.size(below_cols))
+    return upper["label"] & (upper["doubled"] | some)
+
+
+def header_rows(found: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Facts of the first rows of every region of boxes, with ``data_like`` and, for rows that can be its header, ``score``."""
+    inside = found.join(boxes, list(REGION)).withColumn("kind", kind(F.trim("value")))
     width = F.col("right") - F.col("left") + 1
-    last = F.greatest(F.col("top"), F.least(F.col("top") + HEADER_SCAN - 1, F.col("bottom") - ROWS_BELOW))
-    heads = inside.where(F.col("row") <= last)
-    row_stats = heads.groupBy(*REGION, "row").agg(F.count(F.lit(1)).alias("populated"), F.count_if(~F.col("kind").isin("number")).alias("words"), F.count_distinct(F.lower("value")).alias("different"), F.first(width).alias("width"))
-    candidates = row_stats.select(*REGION, F.col("row").alias("head"))
-    below = inside.select(*REGION, "row", "col", "kind").join(candidates, list(REGION)).where((F.col("row") > F.col("head")) & (F.col("row") <= F.col("head") + SAMPLE_ROWS))
+    heads = inside.where(F.col("row") < F.col("top") + HEADER_SCAN + BAND_DOWN)
+    facts = row_facts(heads.select(*REGION, "row", "col", "value"))
+    below = inside.select(*REGION, "row", "col", "kind").join(facts.select(*REGION, F.col("row").alias("head")), list(REGION)).where((F.col("row") > F.col("head")) & (F.col("row") <= F.col("head") + SAMPLE_ROWS))
     columns = below.groupBy(*REGION, "head", "col").agg(F.count_distinct("kind").alias("kinds"), F.min("kind").alias("one"))
     own = heads.select(*REGION, F.col("row").alias("head"), "col", F.col("kind").alias("own"))
-    compared = columns.join(own, [*REGION, "head", "col"], "left").groupBy(*REGION, "head").agg(
+    typed = (F.col("kinds") == 1) & (F.col("one") != "text") & F.col("own").isNotNull()
+    compared = columns.join(own, [*REGION, "head", "col"], "left").groupBy(*REGION, F.col("head").alias("row")).agg(
         F.avg((F.col("kinds") == 1).cast("int")).alias("steady"),
-        F.count_if((F.col("kinds") == 1) & (F.col("one") != "text")).alias("typed"),
-        F.count_if((F.col("kinds") == 1) & (F.col("one") != "text") & (F.col("own") == F.col("one"))).alias("alike"),
+        F.count_if(typed).alias("typed"),
+        F.count_if(typed & (F.col("own") == F.col("one"))).alias("alike"),
     )
-    joined = row_stats.join(compared.withColumnRenamed("head", "row"), [*REGION, "row"], "left")
+    # two rows below at least tell what the columns hold
+    enough = F.col("bottom") - F.col("row") >= 2
+    joined = facts.join(compared, [*REGION, "row"], "left").join(boxes, list(REGION)).withColumn("data_like", F.coalesce(enough & (F.col("typed") > 0) & (F.col("alike") >= 0.75 * F.col("typed")), F.lit(False)))
     points = (
-        F.when(F.col("words") >= 0.7 * F.col("populated"), 2).otherwise(0)
-        + F.when(F.col("populated") == F.col("width"), 1).otherwise(0)
-        + F.when(F.col("steady") >= 0.75, 2).otherwise(0)
-        - F.when((F.col("typed") > 0) & (F.col("alike") >= 0.75 * F.col("typed")), 3).otherwise(0)
-        - F.when((F.col("populated") == 1) & (F.col("width") >= 3), 3).otherwise(0)
+        F.when(F.col("wordy"), 2).otherwise(0)
+        + F.when(F.col("populated") == width, 1).otherwise(0)
+        + F.when(enough & (F.col("steady") >= 0.75), 2).otherwise(0)
+        - F.when(F.col("data_like"), 3).otherwise(0)
+        - F.when((F.col("populated") == 1) & (width >= 3), 3).otherwise(0)
         - F.when(F.col("different") < F.col("populated"), 2).otherwise(0)
     )
-    return joined.select(*REGION, "row", points.alias("score"))
+    last = F.greatest(F.col("top"), F.least(F.col("top") + HEADER_SCAN - 1, F.col("bottom") - ROWS_BELOW))
+    return joined.withColumn("score", F.when(F.col("row") <= last, points))
+
 
+def headers(rows: DataFrame) -> DataFrame:
+    """(region, header, last, skipped): first and last row of the header and its numbering rows; -1 where no row is good enough.
 
-def headers(scores: DataFrame) -> DataFrame:
-    """(region, header): the first row of best score, or -1 where none is good enough."""
-    best = scores.groupBy(*REGION).agg(F.max(F.struct("score", -F.col("row"))).alias("b"))
-    return best.select(*REGION, F.when(F.col("b.score") >= LEAST_SCORE, -F.col("b.col2")).otherwise(-1).alias("header"))
+    The first row of best score is the header, with up to BAND_UP rows above it that label groups of its columns (empty
+    rows between are stepped over) and up to BAND_DOWN rows below that go on with it.
+    """
+    facts = F.struct("row", "cols", "label", "doubled", "numbering", "wordy", "data_like")
+    whole = rows.groupBy(*REGION).agg(F.max(F.when(F.col("score") >= LEAST_SCORE, F.struct("score", (-F.col("row")).alias("back")))).alias("b"), F.max("top").alias("top"), F.max("bottom").alias("bottom"), F.collect_list(facts).alias("rows"))
+    whole = whole.withColumn("best", -F.col("b.back"))
+    at = lambda n: F.try_element_at(F.filter("rows", lambda r: r["row"] == n), F.lit(1))
+
+    def up(s: Column, k: Column) -> Column:
+        r = at(F.col("best") - k)
+        goes_on = (F.size(r["cols"]) >= 2) & labels_group(r, s["cols"])
+        taken = F.struct(r["row"].alias("row"), r["cols"].alias("cols"), F.lit(False).alias("ended"))
+        ended = F.struct(s["row"].alias("row"), s["cols"].alias("cols"), F.lit(True).alias("ended"))
+        return F.when(s["ended"] | r.isNull(), s).when(goes_on, taken).otherwise(ended)
+
+    def down(s: Column, k: Column) -> Column:
+        r, above = at(F.col("best") + k), at(F.col("best") + k - 1)
+        fills = (F.size(F.array_except(r["cols"], s["cols"])) > 0) & (F.size(F.array_intersect(r["cols"], s["cols"])) * 2 <= F.size(r["cols"]))
+        goes_on = ~r["data_like"] & (r["numbering"] | (r["wordy"] & (fills | F.coalesce(above["doubled"], F.lit(False))))) & (r["row"] <= F.col("bottom") - ROWS_BELOW)
+        taken = F.struct(r["row"].alias("row"), F.array_union(s["cols"], r["cols"]).alias("cols"), F.lit(False).alias("ended"))
+        ended = F.struct(s["row"].alias("row"), s["cols"].alias("cols"), F.lit(True).alias("ended"))
+        return F.when(s["ended"], s).when(F.coalesce(goes_on, F.lit(False)), taken).otherwise(ended)
+
+    begin = F.struct(F.col("best").alias("row"), at(F.col("best"))["cols"].alias("cols"), F.lit(False).alias("ended"))
+    steps = lambda n: F.sequence(F.lit(1), F.lit(n))
+    first, last = F.aggregate(steps(BAND_UP), begin, up)["row"], F.aggregate(steps(BAND_DOWN), begin, down)["row"]
+    out = whole.select(*REGION, "top", "rows", F.when(F.col("best").isNull(), -1).otherwise(first).alias("header"), F.when(F.col("best").isNull(), F.col("top") - 1).otherwise(last).alias("last"))
+    skipped = F.transform(F.filter("rows", lambda r: r["row"].between(F.col("header"), F.col("last")) & r["numbering"]), lambda r: r["row"])
+    # a header of nothing but numbers keeps its first row
+    words = F.size(F.filter("rows", lambda r: r["row"].between(F.col("header"), F.col("last")) & ~r["numbering"]))
+    return out.select(*REGION, "header", "last", F.when(words > 0, skipped).otherwise(F.filter(skipped, lambda r: r != F.col("header"))).alias("skipped"))
+
+
+def extents(found: DataFrame) -> DataFrame:
+    """(region, top, bottom, left, right, cells) of every region."""
+    return found.groupBy(*REGION).agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"), F.count(F.lit(1)).alias("cells"))
+
+
+def rejoined(found: DataFrame) -> DataFrame:
+    """Regions that an empty row cut out of one table made one again.
+
+    A region goes on with the one before it, of the same columns, if it has no header of its own, or if the last row of the one
+    before labels groups of the columns in its first row.
+    """
+    boxes = extents(found)
+    heads = headers(header_rows(found, boxes))
+    edge = lambda side: row_facts(found.join(boxes.select(*REGION, F.col(side).alias("row")), [*REGION, "row"])).select(*REGION, F.struct("cols", "label", "doubled").alias(side + "_row"))
+    every = boxes.join(heads, list(REGION)).join(edge("top"), list(REGION)).join(edge("bottom"), list(REGION))
+    order = Window.partitionBy(*SHEET).orderBy("region")
+    before = lambda c: F.lag(c).over(order)
+    told = every.select(*REGION, "header", "top_row", before("bottom_row").alias("above"), ((before("left") == F.col("left")) & (before("right") == F.col("right"))).alias("same"))
+    split = (F.size("above.cols") >= 2) & labels_group(F.col("above"), F.col("top_row.cols"))
+    told = told.withColumn("new", (~F.coalesce(F.col("same") & ((F.col("header") < 0) | split), F.lit(False))).cast("int"))
+    group = told.withColumn("group", F.sum("new").over(order))
+    to = group.select(*REGION, F.min("region").over(Window.partitionBy(*SHEET, "group")).alias("to"))
+    return found.join(to, list(REGION)).select(*SHEET, F.col("to").alias("region"), "row", "col", "value")
 
 
 def column_names(found: DataFrame, boxes: DataFrame, heads: DataFrame) -> DataFrame:
-    """(region, col, column_name): safe and unique names; col_i where there is no header cell."""
-    places = boxes.join(heads, list(REGION)).select(*REGION, "header", "left", F.explode(F.sequence("left", "right")).alias("col"))
-    raw = found.select(*REGION, F.col("row").alias("header"), "col", F.col("value").alias("raw"))
-    named = places.join(raw, [*REGION, "header", "col"], "left").withColumn("name", safe_name(F.col("raw"), F.col("col") - F.col("left") + 1))
+    """(region, col, column_name): safe and unique names of the header's rows put together; col_i where there is no header cell."""
+    places = boxes.join(heads, list(REGION)).select(*REGION, "left", F.explode(F.sequence("left", "right")).alias("col"))
+    band = found.join(heads, list(REGION)).where((F.col("header") >= 0) & F.col("row").between(F.col("header"), F.col("last")) & ~F.array_contains("skipped", F.col("row")))
+    parts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row", F.trim("value").alias("value")))), lambda x: x["value"]))
+    raw = band.groupBy(*REGION, "col").agg(F.array_join(parts, " ").alias("raw"))
+    named = places.join(raw, [*REGION, "col"], "left").withColumn("name", safe_name(F.col("raw"), F.col("col") - F.col("left") + 1))
     nth = F.row_number().over(Window.partitionBy(*REGION, "name").orderBy("col"))
     return named.select(*REGION, "col", F.col("raw").alias("raw_name"), F.when(nth == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), nth.cast("string"))).alias("column_name"))
 
 
 def data_cells(found: DataFrame, boxes: DataFrame, heads: DataFrame) -> DataFrame:
     """The cells below the headers, without trailing totals, notes and lone first cells."""
-    inside = found.join(boxes.select(*REGION, "top", "left", "right"), list(REGION)).join(heads, list(REGION)).where(F.col("row") > F.when(F.col("header") < 0, F.col("top") - 1).otherwise(F.col("header")))
+    inside = found.join(boxes.select(*REGION, "top", "left", "right"), list(REGION)).join(heads.select(*REGION, "header", "last"), list(REGION)).where(F.col("row") > F.col("last"))
     width = F.col("right") - F.col("left") + 1
     rows = inside.groupBy(*REGION, "row").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("col", "value")).alias("first"), F.first("left").alias("left"), F.first(width).alias("width"))
     junk = (F.col("width") > 1) & (F.col("first.col") == F.col("left")) & ((F.col("n") == 1) | (F.trim("first.value").rlike(JUNK) & (F.col("n") < F.col("width"))))
@@ -101,14 +195,57 @@ def data_cells(found: DataFrame, boxes: DataFrame, heads: DataFrame) -> DataFram
 
 
 def tables(cells: DataFrame) -> DataFrame:
-    """Long form of every table found: file, sheet (empty for files without), block (from 1), header, row, column_name, value."""
-    # the cuts feed four joins: they are kept rather than made again
-    found = regions(cells).persist()
+    """Long form of every table found: file, sheet (empty for files without), block (from 1), header, row, col, column_name, value."""
+    return _tables(written(rejoined(written(regions(cells), "regions")), "regions"))[0].drop("region")
+
+
+def _tables(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     boxes = viable(found)
-    heads = headers(header_scores(found, boxes)).persist()
-    named = data_cells(found, boxes, heads).join(column_names(found, boxes, heads), [*REGION, "col"])
+    heads = written(headers(header_rows(found, boxes)), "headers")
+    named = data_cells(found, boxes, heads).join(column_names(found, boxes, heads).drop("raw_name"), [*REGION, "col"])
     block = F.dense_rank().over(Window.partitionBy(*SHEET).orderBy("region"))
-    return named.select(*SHEET, block.alias("block"), "header", "row", "col", "column_name", "value")
+    return named.select(*REGION, block.alias("block"), "header", "row", "col", "column_name", "value"), heads
+
+
+def sheets(cells: DataFrame) -> DataFrame:
+    """What becomes tables, in long form: as ``tables``, with ``role``: table, details or form, of which the latter two are block 0.
+
+    A sheet that reads as a form is one table of (section, item, value).  Else, where it has a table of substance, its
+    fragments (a row or two, totals, cells outside of tables) are folded into one such table beside it.
+    """
+    cut = written(rejoined(written(regions(cells), "regions")), "regions")
+    long, heads = _tables(cut)
+    long = written(long, "tables")
+    blocks_ = long.groupBy(*REGION, "block").agg(F.count_distinct("row").alias("n_rows")).join(totals_blocks(long).drop("share"), [*SHEET, "block"])
+    names = long.select(*REGION, "column_name").distinct().groupBy(*SHEET).agg(F.avg(F.col("column_name").rlike(r"^col_\d+$").cast("int")).alias("made_up"))
+    size = cut.groupBy(*SHEET).agg((F.max("row") + 1).alias("rows"), (F.count(F.lit(1)) / ((F.max("row") + 1) * (F.max("col") + 1))).alias("density"))
+    counts = blocks_.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n_blocks"), F.bool_or((F.col("n_rows") >= SUBSTANTIAL_ROWS) & ~F.col("is_totals")).alias("has_table"))
+    zero = {"n_blocks": 0, "made_up": 0.0}
+    told = size.join(counts, list(SHEET), "left").join(names, list(SHEET), "left").na.fill(zero).withColumn("has_table", F.coalesce("has_table", F.lit(False)))
+    told = told.select(*SHEET, "has_table", is_form(F.col("n_blocks"), F.col("made_up"), F.col("density"), F.col("rows")).alias("may_be_form"))
+    lines = form_lines(cut.join(told.where("may_be_form"), list(SHEET)).select(*SHEET, F.lit("").alias("part"), F.lit("").alias("place"), "row", "col", "value"))
+    several = lines.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FORM_ROWS).select(*SHEET)
+    forms = lines.join(several, list(SHEET))
+    others = told.join(several, list(SHEET), "left_anti")
+
+    small = blocks_.where((F.col("n_rows") <= FRAGMENT_ROWS) | F.col("is_totals")).select(*REGION)
+    loose = cut.join(blocks_.select(*REGION), list(REGION), "left_anti").withColumn("part", F.lit(""))
+    # of a fragment all from its header to its last row
+    ends = long.groupBy(*REGION).agg(F.max("row").alias("end"))
+    held = cut.join(small, list(REGION)).join(heads.select(*REGION, "header"), list(REGION)).join(ends, list(REGION)).where((F.col("row") >= F.col("header")) & (F.col("row") <= F.col("end")))
+    pieces = loose.unionByName(held.withColumn("part", F.col("region")), allowMissingColumns=True).join(others.where("has_table"), list(SHEET))
+    folded = form_lines(pieces.select(*SHEET, "part", F.col("region").alias("place"), "row", "col", "value"))
+    gone = small.join(folded.select(*SHEET).distinct(), list(SHEET))
+    kept = long.join(several, list(SHEET), "left_anti").join(gone, list(REGION), "left_anti").withColumn("role", F.lit("table"))
+    made = _as_cells(forms, "form").unionByName(_as_cells(folded, "details"))
+    return kept.select(*SHEET, "block", "role", "header", "row", "col", "column_name", "value").unionByName(made)
+
+
+def _as_cells(lines: DataFrame, role: str) -> DataFrame:
+    """Lines (part, place, row, section, item, value) as the cells of one table a sheet."""
+    row = F.row_number().over(Window.partitionBy(*SHEET).orderBy("part", "place", "row")) - 1
+    fields = F.array(*(F.struct(F.lit(i).alias("col"), F.lit(n).alias("column_name"), F.col(n).alias("value")) for i, n in enumerate(("section", "item", "value"))))
+    return lines.withColumn("row", row).select(*SHEET, "row", F.explode(fields).alias("c")).select(*SHEET, F.lit(0).alias("block"), F.lit(role).alias("role"), F.lit(-1).alias("header"), "row", "c.col", "c.column_name", "c.value")
 
 
 def totals_blocks(long: DataFrame) -> DataFrame:
@@ -125,28 +262,37 @@ def wide(long: DataFrame, file: str, sheet: str | None, block: int) -> DataFrame
     return own.groupBy("row").pivot("column_name", names).agg(F.first("value"))
 
 
-FIGURE = r"^[-+(]?[$€£₹]?\s*[\d,]+(\.\d+)?\s*[%)]?$"
-ORDINAL = r"^(\(?[0-9]{1,3}[.)]?|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,4}[.)])$"
+# Figures, short tokens and ordinals in forms.
+FIGURE = r"^[\s₹$£€]*-?[\d,]+(\.\d+)?\s*%?$"
+SHORT = r"^[A-Za-z0-9][\w./@-]{0,30}$"
+ORDINAL = r"^(\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})$"
+LABEL = 90
 
 
 def form_items(cells: DataFrame) -> DataFrame:
-    """(file, sheet, row, section, item, value): a form's lines under the heading that was last above them.
+    """(file, sheet, row, section, item, value): a form's lines under the heading that was last above them."""
+    real = cells.where(F.col("value").isNotNull() & (F.trim("value") != ""))
+    return form_lines(real.select(*SHEET, F.lit("").alias("part"), F.lit("").alias("place"), "row", "col", "value")).drop("part", "place")
+
+
+def form_lines(cells: DataFrame) -> DataFrame:
+    """(file, sheet, part, place, row, section, item, value): the lines of every part, in order of place and row.
 
-    A heading is a lone cell that is no figure, or one after an ordinal; of other lines the rightmost figure is the
-    value, else the last cell, and the cells to its left are the label.
+    A heading is a lone cell that is no figure, or one after an ordinal; of other lines the rightmost figure or short
+    token is the value, else the last cell, and the cells to its left are the label.  Lines without a label are left out.
     """
-    real = cells.where(F.col("value").isNotNull() & (F.trim("value") != "")).withColumn("value", F.trim("value"))
-    rows = real.groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"))
+    line = (*SHEET, "part", "place", "row")
+    rows = cells.withColumn("value", F.trim("value")).groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"))
     v = F.transform("cells", lambda c: c["value"])
-    short = lambda c: (~c.rlike(FIGURE)) & (F.length(c) <= 90)
+    ordinal = lambda c: F.trim(c, F.lit("()[]. ")).rlike(ORDINAL)
     first, second = F.try_element_at(v, F.lit(1)), F.try_element_at(v, F.lit(2))
-    heading = F.when((F.size(v) == 1) & short(first), first).when((F.size(v) == 2) & first.rlike(ORDINAL) & short(second), second)
-    places = F.filter(F.sequence(F.lit(2), F.greatest(F.size(v), F.lit(2))), lambda i: F.try_element_at(v, i).rlike(FIGURE))
+    heading = F.when((F.size(v) == 1) & ~first.rlike(FIGURE) & (F.length(first) <= LABEL), first).when((F.size(v) == 2) & ordinal(first) & ~second.rlike(FIGURE), F.left(second, F.lit(LABEL)))
+    places = F.filter(F.sequence(F.lit(2), F.greatest(F.size(v), F.lit(2))), lambda i: F.try_element_at(v, i).rlike(FIGURE) | F.try_element_at(v, i).rlike(SHORT))
     at = F.coalesce(F.try_element_at(places, F.lit(-1)), F.size(v))
-    label = F.array_join(F.filter(F.slice(v, 1, at - 1), lambda c: ~c.rlike(ORDINAL) & ~c.rlike(FIGURE)), " ")
-    lines = rows.select(*SHEET, "row", heading.alias("heading"), F.regexp_replace(label, r"^[ :.\-]+|[ :.\-]+$", "").alias("item"), F.element_at(v, at).alias("value"))
-    section = F.last("heading", ignorenulls=True).over(Window.partitionBy(*SHEET).orderBy("row"))
-    return lines.withColumn("section", section).where(F.col("heading").isNull()).select(*SHEET, "row", "section", F.left("item", F.lit(90)).alias("item"), "value")
+    label = F.array_join(F.filter(F.slice(v, 1, at - 1), lambda c: ~ordinal(c) & ~c.rlike(FIGURE)), " ")
+    lines = rows.select(*line, heading.alias("heading"), F.trim(label, F.lit(" :.-")).alias("item"), F.element_at(v, at).alias("value"))
+    section = F.last("heading", ignorenulls=True).over(Window.partitionBy(*SHEET, "part").orderBy("place", "row"))
+    return lines.withColumn("section", F.coalesce(section, F.lit(""))).where(F.col("heading").isNull() & (F.col("item") != "")).select(*line, "section", F.left("item", F.lit(LABEL)).alias("item"), "value")
 
 
 def is_form(found_blocks: Column, placeholder_share: Column, density: Column, n_rows: Column) -> Column:

@@ -1,7 +1,8 @@
 """Types of all-string tables: one aggregate decides a type per column, one select applies it.
 
-Every decision is made for a whole column over all its rows: a single value that does not fit keeps the
-column text.  Votes on decimal commas and on day-first dates count all values.
+Every decision is made for a whole column over all its rows: a single value that does not fit keeps the column
+text, but for dates, of which nine in ten make a column of dates and the others become null.  Votes on decimal
+commas and on day-first dates count all values.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from ..functions import cells
 
 DATE_SHARE = 0.90
 LEADING_ZERO = r"^0\d+$"
+#: What all spellings of dates start with.
+MAY_BE_A_DATE = r"^(?:\d{1,4}[-/ ]|(?:19|20)\d{6}$)"
 
 
 def inferred(df: DataFrame) -> DataFrame:
@@ -24,23 +27,34 @@ def inferred(df: DataFrame) -> DataFrame:
 def decided(values: DataFrame) -> DataFrame:
     """The same over (column_name, position, v) in long form."""
     v = F.col("v")
-    us, eu = cells.number(v, F.lit(False)), cells.number(v, F.lit(True))
-    count = lambda test: F.count_if(test)
-    kinds = [count(cells.parsed(v, p).isNotNull()).alias(f"date_{i}") for i, p in enumerate(cells.DATE_FORMATS)]
-    votes = values.groupBy("column_name", "position").agg(
+    # every spelling is read once a cell; only text that starts like a date is held against the date formats
+    dated = F.when(v.rlike(MAY_BE_A_DATE), v)
+    us = cells.number(v, F.lit(False))
+    read = values.select(
+        "column_name",
+        "position",
+        "v",
+        us.alias("us"),
+        F.when(v.rlike("[.,]"), cells.number(v, F.lit(True))).otherwise(us).alias("eu"),
+        cells.boolean(v).isNotNull().alias("is_boolean"),
+        cells.day(dated, 1).alias("first_day"),
+        cells.day(dated, 2).alias("second_day"),
+        *(cells.parsed(dated, p).isNotNull().alias(f"is_date_{i}") for i, p in enumerate(cells.DATE_FORMATS)),
+    )
+    votes = read.groupBy("column_name", "position").agg(
         F.count("v").alias("n"),
-        count(us.isNotNull()).alias("us"),
-        count(eu.isNotNull()).alias("eu"),
-        count(us % 1 == 0).alias("us_whole"),
-        count(eu % 1 == 0).alias("eu_whole"),
-        count(v.rlike(cells.EU_DECIMAL)).alias("eu_votes"),
-        count(v.rlike(cells.US_DECIMAL)).alias("us_votes"),
-        count(v.rlike(LEADING_ZERO) | cells.overflows(v)).alias("vetoes"),
-        count(cells.day(v, 1) > 12).alias("first_days"),
-        count(cells.day(v, 2) > 12).alias("second_days"),
-        count(cells.boolean(v).isNotNull()).alias("booleans"),
-        F.size(F.collect_set(F.when(cells.boolean(v).isNotNull(), F.lower(v)))).alias("spellings"),
-        *kinds,
+        F.count("us").alias("us"),
+        F.count("eu").alias("eu"),
+        F.count_if(F.col("us") % 1 == 0).alias("us_whole"),
+        F.count_if(F.col("eu") % 1 == 0).alias("eu_whole"),
+        F.count_if(v.rlike(cells.EU_DECIMAL)).alias("eu_votes"),
+        F.count_if(v.rlike(cells.US_DECIMAL)).alias("us_votes"),
+        F.count_if(v.rlike(LEADING_ZERO) | cells.overflows(v)).alias("vetoes"),
+        F.count_if(F.col("first_day") > 12).alias("first_days"),
+        F.count_if(F.col("second_day") > 12).alias("second_days"),
+        F.count_if("is_boolean").alias("booleans"),
+        F.size(F.collect_set(F.when(F.col("is_boolean"), F.lower(v)))).alias("spellings"),
+        *(F.count_if(f"is_date_{i}").alias(f"date_{i}") for i in range(len(cells.DATE_FORMATS))),
     )
     european = (F.col("eu_votes") > F.col("us_votes")) & (F.col("eu_votes") > 0)
     fits = F.when(european, F.col("eu")).otherwise(F.col("us")) == F.col("n")
@@ -74,5 +88,9 @@ def typed(cell: Column, target: str, european: bool, pattern: str | None) -> Col
 
 def coerced(df: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """df with each column in its inferred type; the plan has a row a column, so it is read on the driver."""
-    rows = {r["column_name"]: r for r in (plan or inferred(df)).collect()}
-    return df.select(*(typed(F.col(f"`{n}`").cast("string"), rows[n]["target"], rows[n]["european"], rows[n]["pattern"]).alias(n) if n in rows else F.col(f"`{n}`") for n in df.columns))
+    return retyped(df, {r["column_name"]: r for r in (plan or inferred(df)).collect()})
+
+
+def retyped(df: DataFrame, kinds: dict) -> DataFrame:
+    """df with the columns named in ``kinds`` (target, european, pattern of each) in their types."""
+    return df.select(*(typed(F.col(f"`{n}`").cast("string"), kinds[n]["target"], kinds[n]["european"], kinds[n]["pattern"]).alias(n) if n in kinds else F.col(f"`{n}`") for n in df.columns))

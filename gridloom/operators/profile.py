@@ -122,8 +122,13 @@ def first_values(counts: DataFrame, n: int) -> DataFrame:
 
 def catalog(tables: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, DataFrame]:
     """schema_tables and schema_columns of named tables (with their source file)."""
-    files = F.create_map(*(F.lit(x) for name, (_, source) in tables.items() for x in (name, source)))
-    found = profiles({name: df for name, (df, _) in tables.items()}).withColumn("source_file", F.element_at(files, F.col("table_name")))
+    return catalog_of(profiles({name: df for name, (df, _) in tables.items()}), {name: source for name, (_, source) in tables.items()})
+
+
+def catalog_of(found: DataFrame, sources: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The same of profiles."""
+    files = F.create_map(*(F.lit(x) for pair in sources.items() for x in pair))
+    found = found.withColumn("source_file", F.element_at(files, F.col("table_name")))
     columns = found.select("table_name", "column_name", F.col("semantic_type").alias("data_type"), "n_distinct", F.col("n_null").alias("n_nulls"), F.concat_ws(", ", F.slice("samples", 1, 3)).alias("example_values"))
     whole = found.groupBy("table_name", "source_file").agg(F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_columns"))
     return whole, columns

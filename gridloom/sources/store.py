@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (a new local folder where it is unset) and read back: plans start from there."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """df written as Parquet under spark.checkpoint.dir (on one machine a new folder where it is unset) and read back: plans start from there.
+
+    folders: columns of which each value has a folder of its own, so that reads of one value read no others.
+    """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
