@@ -100,6 +100,11 @@ def checked(spark: SparkSession, sql: str, tables: set[str]) -> Checked:
     return Checked(text, sorted(set(used)), frame)
 
 
+def evidence(spark: SparkSession, sql: str, tables: set[str]) -> DataFrame:
+    """The first rows of a checked statement that shows what a figure was made of."""
+    return checked(spark, sql, tables).frame.limit(EVIDENCE_ROWS)
+
+
 def _parts(x: Any) -> list[str]:
     return [p.strip() for p in x.strip("[]").split(",")] if isinstance(x, str) else list(x)
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import cells, names
 from .functions.projections import PROJECTIONS, grained
 from .operators import blocks, bm25, fuse, graph, infer, profile, relate
-from .plans import present
+from .plans import guard, present, route
+from .sources.store import written
 from .streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,44 +200,147 @@ def pivot_statuses(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-# --- discovery ---------------------------------------------------------------------------------------
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders, round(coalesce(sum(o_totalprice), 0), 2) AS spent FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def left_join_counts(spark, sf_dir):
+    """Orders of every customer, those without any included; orders are summed before they are shuffled to customers."""
+    spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    return c.join(spent, c.c_custkey == spent.o_custkey, "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.round(F.coalesce("s", F.lit(0.0)), 2).alias("spent"))
+
+
+@query(
+    """SELECT CASE WHEN s_suppkey IS NULL THEN 'customer' WHEN c_custkey IS NULL THEN 'supplier' ELSE 'both' END AS side, count(*) AS n
+    FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 100) = floor(s_acctbal / 100) GROUP BY 1"""
+)
+def full_join_sides(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), F.floor(F.col("c_acctbal") / 100).alias("b"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), F.floor(F.col("s_acctbal") / 100).alias("b"))
+    side = F.when(F.col("s_suppkey").isNull(), "customer").when(F.col("c_custkey").isNull(), "supplier").otherwise("both")
+    return c.join(s, ["k", "b"], "full").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r_name, n_name, count(s_suppkey) AS n_suppliers FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
+def right_join_regions(spark, sf_dir):
+    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    joined = n.join(r, n.n_regionkey == r.r_regionkey, "right").join(s, s.s_nationkey == n.n_nationkey, "left")
+    return joined.groupBy("r_name", "n_name").agg(F.count("s_suppkey").alias("n_suppliers"))
+
+
+@query("SELECT r_name, c_mktsegment, count(*) FILTER (WHERE n_regionkey = r_regionkey) AS n FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s LEFT JOIN (SELECT c_mktsegment AS m, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) c ON m = c_mktsegment AND n_regionkey = r_regionkey GROUP BY 1, 2")
+def cross_join_grid(spark, sf_dir):
+    """Every region with every segment, also where it has no customer; the grid is as large as two short lists."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    counts = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_regionkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    grid = table(spark, sf_dir, "region").crossJoin(c.select("c_mktsegment").distinct())
+    met = grid.join(counts.withColumnRenamed("n_regionkey", "r_regionkey"), ["r_regionkey", "c_mktsegment"], "left")
+    return met.select("r_name", "c_mktsegment", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    """WITH b AS (SELECT p_size, min(p_retailprice) * 50 AS lo, max(p_retailprice) * 60 AS hi FROM part GROUP BY p_size)
+    SELECT p_size, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN b ON o_totalprice >= lo AND o_totalprice < hi GROUP BY p_size"""
+)
+def range_join_bands(spark, sf_dir):
+    """Orders in overlapping bands of prices: both are dealt to steps of a price, so that the join has an equal key and no order meets all bands."""
+    step = 5000.0
+    bands = table(spark, sf_dir, "part").groupBy("p_size").agg((F.min("p_retailprice") * 50).alias("lo"), (F.max("p_retailprice") * 60).alias("hi"))
+    dealt = bands.withColumn("step", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor(F.col("hi") / step))))
+    o = table(spark, sf_dir, "orders").select("o_totalprice", F.floor(F.col("o_totalprice") / step).alias("step"))
+    met = o.join(dealt, "step").where((F.col("o_totalprice") >= F.col("lo")) & (F.col("o_totalprice") < F.col("hi")))
+    return met.groupBy("p_size").agg(F.count(F.lit(1)).alias("n"), _sum("o_totalprice", "total"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n, grouping_id(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_quantities(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())")
+def grouping_sets_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.groupingSets([["o_orderpriority"], ["o_orderstatus"], []], "o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT p_brand, median(p_retailprice) AS middle, quantile_cont(p_retailprice, 0.9) AS high, min(m) AS usual_size, count(*) FILTER (WHERE p_size > 25) AS n_large, arg_max(p_partkey, p_retailprice * 10000000 + p_partkey) AS dearest
+    FROM part JOIN (SELECT p_brand AS b, min(p_size) AS m FROM (SELECT p_brand, p_size, count(*) AS n, max(count(*)) OVER (PARTITION BY p_brand) AS most FROM part GROUP BY 1, 2) WHERE n = most GROUP BY 1) ON b = p_brand GROUP BY 1"""
+)
+def order_statistics(spark, sf_dir):
+    """Median, quantile, mode (the least of equals), filtered count and argument of the maximum."""
+    p = table(spark, sf_dir, "part")
+    return p.groupBy("p_brand").agg(
+        F.median("p_retailprice").alias("middle"),
+        F.percentile("p_retailprice", F.lit(0.9)).alias("high"),
+        F.mode("p_size", deterministic=True).alias("usual_size"),
+        F.count_if(F.col("p_size") > 25).alias("n_large"),
+        F.max_by("p_partkey", F.col("p_retailprice") * 10000000 + F.col("p_partkey")).alias("dearest"),
+    )
+
+
+@query(
+    """WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1), large AS (SELECT o_custkey FROM spent WHERE s > (SELECT avg(s) FROM spent))
+    SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM large) GROUP BY 1"""
+)
+def cte_large_spenders(spark, sf_dir):
+    """A statement with named parts, as a session checks and runs it."""
+    for name in ("orders", "customer"):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"cte_{name}")
+    text = """
+        WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS s FROM cte_orders GROUP BY 1), large AS (SELECT o_custkey FROM spent WHERE s > (SELECT avg(s) FROM spent))
+        SELECT c_mktsegment, count(*) AS n FROM cte_customer WHERE c_custkey IN (SELECT o_custkey FROM large) GROUP BY 1
+    """
+    return guard.checked(spark, text, {"cte_orders", "cte_customer"}).frame
+
+
+@query("SELECT 'l_orderkey' AS column_name, TRUE AS is_near UNION ALL SELECT 'l_partkey', TRUE")
+def approximate_distinct(spark, sf_dir):
+    """Distinct counts by sketches, each held against the exact one."""
+    li = table(spark, sf_dir, "lineitem")
+    out = []
+    for c in ("l_orderkey", "l_partkey"):
+        both = li.agg(F.approx_count_distinct(c, 0.02).alias("near"), F.count_distinct(c).alias("exact"))
+        out.append(both.select(F.lit(c).alias("column_name"), (F.abs(F.col("near") - F.col("exact")) <= 0.08 * F.col("exact")).alias("is_near")))
+    return out[0].union(out[1])
 
-KEYS = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id"))
 
+@query("SELECT strftime(o_orderdate, '%Y/%m') AS month, strftime(min(o_orderdate), '%d.%m.%Y') AS first_day, count(*) AS n FROM orders GROUP BY 1")
+def date_formats(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.date_format("o_orderdate", "yyyy/MM").alias("month")).agg(F.date_format(F.min("o_orderdate"), "dd.MM.yyyy").alias("first_day"), F.count(F.lit(1)).alias("n"))
+
+
+# --- discovery ---------------------------------------------------------------------------------------
 
-def _key_values(spark, sf_dir) -> DataFrame:
-    """The key columns' values with their counts."""
-    columns = dict.fromkeys([(a, b) for a, b, _, _ in KEYS] + [(c, d) for _, _, c, d in KEYS])
-    tables: dict[str, list[str]] = {}
-    for t, c in columns:
-        tables.setdefault(t, []).append(c)
-    return relate.values({t: table(spark, sf_dir, t).select(*cs) for t, cs in tables.items()})
+KEYS = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id"))
 
 
 _KEY_SQL = " UNION ALL ".join(
-    f"SELECT '{a}.{b}' AS child, '{c}.{d}' AS parent, (SELECT count(*) FROM (SELECT {b} FROM {a} INTERSECT SELECT {d} FROM {c}))::BIGINT AS shared, (SELECT count(DISTINCT {b}) FROM {a}) AS child_distinct, (SELECT count(DISTINCT {d}) FROM {c}) AS parent_distinct, (SELECT count(*) FROM {a} WHERE {b} IN (SELECT {d} FROM {c})) AS covered" for a, b, c, d in KEYS
+    f"SELECT '{a}.{b}' AS child, '{c}.{d}' AS parent, (SELECT count(*) FROM (SELECT {b} FROM {a} INTERSECT SELECT {d} FROM {c}))::BIGINT AS shared, (SELECT count(DISTINCT {b}) FROM {a}) AS child_distinct, (SELECT count(DISTINCT {d}) FROM {c}) AS parent_distinct, (SELECT count(*) FROM {a} WHERE {b} IN (SELECT {d} FROM {c})) AS covered, (SELECT count({b}) FROM {a}) AS child_rows" for a, b, c, d in KEYS
 )
 
 
+#: Parents before children, as the left table of a pair is the parent where both are unique.
+KEY_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
+
+
+def _key_measures(spark, sf_dir) -> DataFrame:
+    """The measures of discovery for the key pairs, among all pairs of their columns."""
+    columns = {t: list(dict.fromkeys(x for a, b, c, d in KEYS for u, x in ((a, b), (c, d)) if u == t)) for t in KEY_TABLES}
+    _, decided = relate.measured({t: table(spark, sf_dir, t).select(*cs) for t, cs in columns.items()})
+    known = F.array(*(F.lit(f"{c}.{d}<{a}.{b}") for a, b, c, d in KEYS))
+    parent, child = F.concat_ws(".", "left_table", "left_column"), F.concat_ws(".", "right_table", "right_column")
+    return decided.where(F.array_contains(known, F.concat(parent, F.lit("<"), child))).withColumns({"parent": parent, "child": child})
+
+
 @query(f"SELECT child, parent, round(shared / least(child_distinct, parent_distinct), 6) AS containment FROM ({_KEY_SQL})")
 def containment_fk_pairs(spark, sf_dir):
-    return _key_measures(spark, sf_dir).select("child", "parent", F.round(F.col("shared") / F.least("child_distinct", "parent_distinct"), 6).alias("containment"))
+    return _key_measures(spark, sf_dir).select("child", "parent", F.round("containment", 6).alias("containment"))
 
 
-@query(f"SELECT child, parent, covered FROM ({_KEY_SQL})")
+@query(f"SELECT child, parent, round(covered / child_rows, 6) AS coverage FROM ({_KEY_SQL})")
 def coverage_rows(spark, sf_dir):
-    return _key_measures(spark, sf_dir).select("child", "parent", F.col("covered"))
-
-
-def _key_measures(spark, sf_dir) -> DataFrame:
-    held = _key_values(spark, sf_dir).where("projection = 'raw'").withColumn("c", F.concat_ws(".", "table_name", "column_name"))
-    pairs = F.array(*(F.struct(F.lit(f"{a}.{b}").alias("child"), F.lit(f"{c}.{d}").alias("parent")) for a, b, c, d in KEYS))
-    asked = spark.range(1).select(F.explode(pairs).alias("p")).select("p.*")
-    sizes = held.groupBy("c").agg(F.count(F.lit(1)).alias("distinct"))
-    left = asked.join(held.select(F.col("c").alias("child"), "value", "n"), "child")
-    met = left.join(held.select(F.col("c").alias("parent"), "value", F.lit(1).alias("hit")), ["parent", "value"], "left")
-    found = met.groupBy("child", "parent").agg(F.count("hit").alias("shared"), F.sum(F.when(F.col("hit").isNotNull(), F.col("n")).otherwise(0)).alias("covered"))
-    return found.join(sizes.toDF("child", "child_distinct"), "child").join(sizes.toDF("parent", "parent_distinct"), "parent")
+    return _key_measures(spark, sf_dir).select("child", "parent", F.round("coverage", 6).alias("coverage"))
 
 
 @query(
@@ -253,8 +357,21 @@ def projection_distincts(spark, sf_dir):
 
 @query("SELECT 'l_orderkey+l_linenumber' AS columns, count(DISTINCT (l_orderkey, l_linenumber)) AS tuples, count(*) AS n_rows, round(count(DISTINCT (l_orderkey, l_linenumber)) / count(*), 6) AS uniqueness FROM lineitem")
 def composite_uniqueness(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
-    return li.agg(F.count(F.lit(1)).alias("tuples"), F.sum("n").alias("n_rows")).select(F.lit("l_orderkey+l_linenumber").alias("columns"), "tuples", "n_rows", F.round(F.col("tuples") / F.col("n_rows"), 6).alias("uniqueness"))
+    key = ("l_orderkey", "l_linenumber")
+    found = relate.tuple_measures({"lineitem": table(spark, sf_dir, "lineitem")}, [relate.Tuples("lineitem", key, "lineitem", key)])
+    return found.select(F.lit("+".join(key)).alias("columns"), F.col("a").alias("tuples"), F.col("rows_a").alias("n_rows"), F.round(F.col("a") / F.col("rows_a"), 6).alias("uniqueness"))
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT o_orderpriority AS p, o_orderstatus AS s FROM orders), c AS (SELECT DISTINCT l_linestatus AS s, l_returnflag AS f FROM lineitem), o AS (SELECT DISTINCT o_orderstatus AS s, left(o_orderpriority, 1) AS f FROM orders)
+    SELECT (SELECT count(*) FROM c) AS left_tuples, (SELECT count(*) FROM o) AS right_tuples, (SELECT count(*) FROM (SELECT lower(s), lower(f) FROM c INTERSECT SELECT lower(s), lower(f) FROM o)) AS shared"""
+)
+def composite_containment(spark, sf_dir):
+    """Pairs of columns of two tables as one key."""
+    li = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag")
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", F.left("o_orderpriority", F.lit(1)).alias("first"))
+    found = relate.tuple_measures({"lineitem": li, "orders": o}, [relate.Tuples("lineitem", ("l_linestatus", "l_returnflag"), "orders", ("o_orderstatus", "first"))])
+    return found.select(F.col("a").alias("left_tuples"), F.col("b").alias("right_tuples"), "shared")
 
 
 def _grain_sql(unit: str) -> str:
@@ -268,20 +385,27 @@ def grain_containment(spark, sf_dir):
     return found.select("unit", F.round("containment", 6).alias("containment"), "left_periods", "right_periods")
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 @query()
 def discovery_end_to_end(spark, sf_dir):
-    """Relationships of seven tables, by their values."""
-    tables = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "labels")}
-    return relate.discovered(tables | {"documents": table(spark, sf_dir, "documents").select("doc_id", "lang", "source")})
+    """Relationships of all tables, by the values of all their columns."""
+    return relate.discovered({n: table(spark, sf_dir, n) for n in TABLES})
 
 
 @query()
 def discovered_components(spark, sf_dir):
     """Groups of tables that the discovered relationships join."""
-    found = discovery_end_to_end(spark, sf_dir).persist()
-    edges = found.select(F.col("left_table").alias("a"), F.col("right_table").alias("b"))
-    nodes = spark.createDataFrame([(n,) for n in ("region", "nation", "customer", "supplier", "part", "orders", "labels", "documents")], "node string")
-    return graph.components(nodes, edges)
+    edges = discovery_end_to_end(spark, sf_dir).select(F.col("left_table").alias("a"), F.col("right_table").alias("b"))
+    return graph.components(spark.createDataFrame([(n,) for n in TABLES], "node string"), edges)
+
+
+@query()
+def undecided_pairs(spark, sf_dir):
+    """Pairs of columns that overlap by half or more and share a word, but not enough to be taken."""
+    _, decided = relate.measured({n: table(spark, sf_dir, n) for n in TABLES})
+    return relate.undecided(decided).select("left_table", "left_column", "right_table", "right_column", "containment", "score")
 
 
 # --- profiles and catalog ----------------------------------------------------------------------------
@@ -302,9 +426,14 @@ def profile_customer(spark, sf_dir):
     return _profiled(table(spark, sf_dir, "customer"))
 
 
-@query(_profile_sql("events", {"event_id": "id", "user_id": "id", "event_type": "category", "value": "numeric"}))
+@query(
+    _profile_sql("events", {"event_id": "id", "user_id": "id", "event_type": "category", "value": "numeric"})
+    + """ UNION ALL SELECT 'ts', count(*), count(DISTINCT ts::DATE), count(*) - count(ts), round((count(*) - count(ts)) / count(*), 4), count(DISTINCT ts::DATE) = count(*), 'date' FROM events
+    UNION ALL SELECT 'props', count(*), count(DISTINCT props), count(*) - count(props), round((count(*) - count(props)) / count(*), 4), count(DISTINCT props) = count(*),
+        CASE WHEN count(DISTINCT props) / count(*) >= 0.9 AND count(DISTINCT props) > 1 THEN 'id' WHEN count(DISTINCT props) <= 50 OR count(DISTINCT props) / count(*) <= 0.05 THEN 'category' ELSE 'text' END FROM events"""
+)
 def profile_events(spark, sf_dir):
-    return _profiled(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
+    return _profiled(table(spark, sf_dir, "events"))
 
 
 @query(
@@ -317,26 +446,52 @@ def profile_bounds(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2]).select("column_name", "min_value", "max_value", "regex_signature")
 
 
-_SIGNATURE_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column_name, " + ", ".join(f"round(avg(regexp_matches({c}, '{p}')::INT), 6) AS share_{i}" for i, p in enumerate(profile.SIGNATURES)) + f" FROM {t}" for t, c in (("customer", "c_name"), ("part", "p_brand"), ("events", "event_type")))
+_SPELLED = {"coded": "'C-' || c_custkey", "mailed": "c_custkey || '@' || lower(c_mktsegment) || '.org'", "dated": "'2024-01-' || lpad((1 + c_custkey % 28)::VARCHAR, 2, '0')", "called": "lpad(c_custkey::VARCHAR, 10, '0')", "wide": "lpad(c_custkey::VARCHAR, 7, '0')", "named": "c_mktsegment || c_custkey"}
+_SIGNATURE_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS column_name, CASE " + " ".join(f"WHEN avg(regexp_matches(v, '{p}')::INT) >= 0.95 THEN '{p}'" for p in profile.SIGNATURES) + f" WHEN avg((regexp_matches(v, '^[0-9]+$') AND length(v) = 7)::INT) >= 0.95 THEN '^\\d{{7}}$' END AS regex_signature FROM (SELECT {e} AS v FROM customer)" for n, e in _SPELLED.items()
+)
 
 
 @query(_SIGNATURE_SQL)
-def regex_signature_rates(spark, sf_dir):
-    out = []
-    for t, c in (("customer", "c_name"), ("part", "p_brand"), ("events", "event_type")):
-        out.append(table(spark, sf_dir, t).agg(*(F.round(F.avg(F.col(c).rlike(p).cast("int")), 6).alias(f"share_{i}") for i, p in enumerate(profile.SIGNATURES))).select(F.lit(c).alias("column_name"), "*"))
-    return out[0].union(out[1]).union(out[2])
+def regex_signatures(spark, sf_dir):
+    """The patterns of customers' numbers spelled in six ways."""
+    key = F.col("c_custkey").cast("string")
+    spelled = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C-"), key).alias("coded"),
+        F.concat(key, F.lit("@"), F.lower("c_mktsegment"), F.lit(".org")).alias("mailed"),
+        F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("c_custkey") % 28).cast("string"), 2, "0")).alias("dated"),
+        F.lpad(key, 10, "0").alias("called"),
+        F.lpad(key, 7, "0").alias("wide"),
+        F.concat("c_mktsegment", key).alias("named"),
+    )
+    return profile.profile(spelled).select("column_name", "regex_signature")
+
 
+_WIDTHS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "embeddings": 2, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
 
-@query("SELECT 'nation' AS table_name, (SELECT count(*) FROM nation) AS n_rows, 3::BIGINT AS n_columns UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier), 4 UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), 6")
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, {n}::BIGINT AS n_columns" for t, n in _WIDTHS.items()))
 def catalog_tables(spark, sf_dir):
-    whole, _ = profile.catalog({n: (table(spark, sf_dir, n), f"{n}.parquet") for n in ("nation", "supplier", "orders")})
+    """All tables with their rows and columns of single values."""
+    whole, _ = profile.catalog({n: (table(spark, sf_dir, n), f"{n}.parquet") for n in TABLES})
     return whole.select("table_name", "n_rows", "n_columns")
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, count(*) - count({c}) AS n_nulls FROM {t}" for t, c in (("nation", "n_nationkey"), ("nation", "n_name"), ("nation", "n_regionkey"), ("region", "r_regionkey"), ("region", "r_name"))))
+_COLUMNS = {
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate::DATE", "o_orderpriority"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c.removesuffix('::DATE')}' AS column_name, count(DISTINCT {c}) AS n_distinct, count(*) - count({c}) AS n_nulls FROM {t}" for t, cs in _COLUMNS.items() for c in cs))
 def catalog_columns(spark, sf_dir):
-    _, columns = profile.catalog({n: (table(spark, sf_dir, n), f"{n}.parquet") for n in ("nation", "region")})
+    _, columns = profile.catalog({n: (table(spark, sf_dir, n), f"{n}.parquet") for n in _COLUMNS})
     return columns.select("table_name", "column_name", "n_distinct", "n_nulls")
 
 
@@ -351,7 +506,7 @@ def _european(c: Column) -> Column:
 def coerce_locale_numbers(spark, sf_dir):
     """Prices spelled with decimal commas, read back."""
     text = table(spark, sf_dir, "orders").select(F.concat(F.lit(" "), F.col("o_orderkey").cast("string")).alias("key"), F.concat(_european(F.col("o_totalprice")), F.lit(" €")).alias("price"))
-    plan = infer.inferred(text)
+    plan = written(infer.inferred(text), "plan")
     kinds = plan.groupBy().pivot("column_name", ["key", "price"]).agg(F.first("target").alias("target"), F.first("european").alias("european"))
     total = infer.coerced(text, plan).agg(_sum("price", "total"), F.count("key").alias("n"))
     return kinds.crossJoin(total).select(F.col("key_target").alias("key_type"), F.col("price_target").alias("price_type"), F.col("price_european").alias("european"), "total", "n")
@@ -441,15 +596,18 @@ def fuse_union_all(spark, sf_dir):
 
 # --- routing and presentation -----------------------------------------------------------------------
 
-_TOKEN_SQL = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9]*|\\d+')) AS w FROM documents"
+_EXPANDED_SQL = (
+    "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.ABBREVIATIONS.items()) + " ELSE CASE WHEN length(w) < 4 OR regexp_matches(w, '(ss|us|is|as|os)$') THEN w WHEN w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' "
+    "WHEN regexp_matches(w, '(ches|shes|xes|zes)$') THEN left(w, length(w) - 2) WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END END"
+)
+_STOPPED = ", ".join(f"'{w}'" for w in bm25.STOPWORDS)
+_TOKEN_SQL = f"SELECT doc_id, {_EXPANDED_SQL} AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9]*|\\d+')) AS w FROM documents) WHERE w NOT IN ({_STOPPED})"
 
 
-@query(f"WITH t AS ({_TOKEN_SQL}) SELECT w AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE w NOT IN ({', '.join(repr(w) for w in bm25.STOPWORDS)}) GROUP BY w")
+@query(f"WITH t AS ({_TOKEN_SQL}) SELECT w AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY w")
 def token_stats(spark, sf_dir):
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-zA-Z][a-zA-Z0-9]*|\d+"), F.lit(0))
-    long = table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("word")).where(~F.col("word").isin(*bm25.STOPWORDS))
-    per_doc = long.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    per_doc = bm25.term_counts(table(spark, sf_dir, "documents"), "doc_id", bm25.tokens(F.col("text")))
+    return per_doc.groupBy(F.col("term").alias("word")).agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 @query(
@@ -461,10 +619,10 @@ def token_stats(spark, sf_dir):
     """
 )
 def bm25_documents(spark, sf_dir):
+    """The documents that a question is about; terms are counted and written once."""
     docs = table(spark, sf_dir, "documents")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-zA-Z][a-zA-Z0-9]*|\d+"), F.lit(0))
-    asked = spark.createDataFrame([(w,) for w in ("license", "public", "version", "token")], "term string")
-    found = bm25.ranked(bm25.term_counts(docs, "doc_id", words), docs.count(), asked)
+    counts = written(bm25.term_counts(docs, "doc_id", bm25.tokens(F.col("text"))), "terms")
+    found = bm25.ranked(counts, docs.count(), route.asked_terms(spark, "public license version tokens"))
     return found.select("doc", F.round("score", 6).alias("score"))
 
 
@@ -475,7 +633,9 @@ def facts_extremes(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def evidence_rows(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey", "o_custkey", "o_totalprice")
+    """The rows behind a figure, as a session fetches them beside it."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("evidence_orders")
+    return guard.evidence(spark, "SELECT o_orderkey, o_custkey, o_totalprice FROM evidence_orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey", {"evidence_orders"})
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
