@@ -39,7 +39,7 @@ CAPACITY = 2048
 END_ID = 1
 GROUP_TOKENS = 1 << 20
 #: Pieces of words whose ids a worker remembers (and as many older ones), and the letters of the longest such.
-REMEMBERED, LONG = 300_000, 64
+REMEMBERED, LONG = 150_000, 64
 #: Bytes of texts whose words are looked up together (one text at least), and words whose ids are laid out together.
 BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 23, 1 << 20
 #: Part of the remainders' tokens that is cut small, and how many such pieces make a window.

@@ -228,10 +228,10 @@ def repeated_windows(rows: DataFrame, depth: int = 100, split_at: int = 4096) ->
     runs = rows.mapInArrow(_first_digit(depth, min(64, split_at)), "key long, digest long, doc long, _row long, at long, n int, digit long, state byte, several boolean")
     marked = materialised(_marked(runs, split_at), "runs")
     dealt = rows.repartition(F.col("_row"))
-    texts = dealt.select("doc_id", "text", "_row")
     still = marked.where(F.col("state") == OPEN).groupBy("_row").agg(F.collect_list(F.struct(_packed().alias("s"), "digit", "many")).alias("x"))
     still = still.select("_row", F.col("x.s").alias("spots"), F.col("x.digit").alias("digits"), F.col("x.many").alias("many"))
-    bodies = texts.join(still.hint("shuffle_hash"), "_row").select("doc_id", "text", "_row", "spots", "digits", "many").mapInArrow(_texts_of_open(depth), "key long, doc long, _row long, at long, done boolean, body binary")
+    # with all columns, so that the texts are dealt once for both uses
+    bodies = dealt.join(still.hint("shuffle_hash"), "_row").select(*rows.columns, "spots", "digits", "many").mapInArrow(_texts_of_open(depth), "key long, doc long, _row long, at long, done boolean, body binary")
     spread = F.when(F.col("done"), F.xxhash64("_row", "at")).otherwise(F.col("key"))
     found = bodies.withColumn("key", spread).repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_last_digits(depth), "_row long, at long, n int")
     return dealt, marked.where(F.col("state") == DONE).select("_row", "at", "n").union(found)
