@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,10 @@ class Session:
         return list(self.tables)
 
     def add_table(self, name: str, df: DataFrame) -> None:
+        """A table of any session of this application, which all its sessions can see under a name of its own."""
+        seen = f"gridloom_{uuid.uuid4().hex}"
+        df.createGlobalTempView(seen)
+        df = self.spark.table(f"global_temp.{seen}")
         self._register({**self.tables, name: df}, {**self.sources, name: (name, "")})
 
     @staticmethod
