@@ -24,6 +24,7 @@ NULL_TOKENS = (
     "unknown",
     "not available",
 )
+# Spellings of booleans, and the shapes of figures and dates.
 TRUE_TOKENS = ("true", "yes", "y", "t", "1")
 FALSE_TOKENS = ("false", "no", "n", "f", "0")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import name_tokens
 from ..functions.projections import rendered
 
+# Shares, counts and the patterns that values are held against.
 SAMPLES, SAMPLE_CHARS = 5, 40
 SIGNATURE_SHARE, SIGNATURE_LEAST = 0.95, 3
 ID_SHARE = 0.90

@@ -10,10 +10,12 @@ import codecs
 import csv
 import io
 import re
+import unicodedata
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_MB = 100
+#: Bytes of a file from which its encoding is guessed, and guesses that are held against each other.
+SNIFFED, GUESSES = 1 << 16, 8
 DELIMITERS = ",;\t|"
 SCHEMA = "file string, sheet string, row int, col int, value string"
 BOMS = ((codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_BE, "utf-16"), (codecs.BOM_UTF16_LE, "utf-16"))
@@ -31,7 +35,7 @@ class Unreadable(ValueError):
 
 
 def decoded(data: bytes) -> str:
-    """Text of bytes: by mark, by the places of zero bytes, as UTF-8, else by what a detector finds most likely."""
+    """Text of bytes: by mark, by the places of zero bytes, as UTF-8, else by the most coherent script of a detector's guesses."""
     for mark, name in BOMS:
         if data.startswith(mark):
             return data.decode(name)
@@ -43,20 +47,43 @@ def decoded(data: bytes) -> str:
         return data.decode("utf-8")
     except UnicodeDecodeError:
         pass
-    try:
-        from charset_normalizer import from_bytes
-
-        best = from_bytes(data[: 1 << 16]).best()
-        if best and sum(c.isalpha() and c > "Ͱ" for c in str(best)) > 0.3 * sum(map(str.isalpha, str(best))):
-            return data.decode(best.encoding)
-    except (ImportError, UnicodeDecodeError, LookupError):
-        pass
+    if (likely := _by_script(data)) is not None:
+        try:
+            return data.decode(likely)
+        except (UnicodeDecodeError, LookupError):
+            pass
     try:
         return data.decode("cp1252")
     except UnicodeDecodeError:
         return data.decode("latin-1")
 
 
+@lru_cache(maxsize=4096)
+def _script(letter: str) -> str:
+    return unicodedata.name(letter, "?").split()[0]
+
+
+def coherence(text: str) -> float:
+    """The part of words whose letters are of one script and among which no symbol stands."""
+    words = [w for w in text.split() if any(map(str.isalpha, w))]
+    whole = sum(len({_script(c) for c in w if c.isalpha()}) == 1 and not any(unicodedata.category(c)[0] == "S" for c in w) for w in words)
+    return whole / len(words) if words else 0.0
+
+
+def _by_script(data: bytes) -> str | None:
+    """The most coherent of a detector's first guesses, if what it gives is mostly not Latin."""
+    try:
+        from charset_normalizer import from_bytes
+    except ImportError:
+        return None
+    best, encoding = 0.0, None
+    for guess in list(from_bytes(data[:SNIFFED]))[:GUESSES]:
+        text = str(guess)
+        if sum(c.isalpha() and c > "\u0370" for c in text) > 0.3 * sum(map(str.isalpha, text)) and (own := coherence(text)) > best:
+            best, encoding = own, guess.encoding
+    return encoding
+
+
 def delimiter(text: str) -> str:
     try:
         return csv.Sniffer().sniff(text[:16_384], DELIMITERS).delimiter

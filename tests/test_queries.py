@@ -47,7 +47,7 @@ def test_against_sql(spark, sf_dir, con, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_runs(spark, sf_dir, name):
     df = queries.QUERIES[name](spark, sf_dir)
-    assert df.columns and df.count() >= 0
+    assert df.columns and (df.count() > 0 or name == "undecided_pairs")
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):

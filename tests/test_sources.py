@@ -14,6 +14,26 @@ def test_encodings(name):
     assert grids.decoded(text.encode(name)) == text
 
 
+CITIES = {
+    "cp1251": "город,население\nМосква,13000\nКазань,1300\nСамара,1100\nУфа,1100\nПермь,1000\nВоронеж,1000\n" * 4,
+    "shift_jis": "都市,人口\n東京,13000\n大阪,2700\n名古屋,2300\n札幌,1900\n" * 8,
+    "euc_kr": "도시,인구\n서울,9400\n부산,3300\n대구,2300\n인천,2900\n" * 8,
+    "cp1253": "πόλη,πληθυσμός\nΑθήνα,3000\nΠάτρα,170\nΛάρισα,150\nΒόλος,140\n" * 8,
+}
+
+
+@pytest.mark.parametrize("name", CITIES)
+def test_other_scripts(name):
+    pytest.importorskip("charset_normalizer")
+    assert grids.decoded(CITIES[name].encode(name)) == CITIES[name]
+
+
+def test_coherence():
+    assert grids.coherence("Москва Казань 12") == 1.0
+    assert grids.coherence("Моsква ab™c word") == pytest.approx(1 / 3)
+    assert grids.coherence("12 34") == 0.0
+
+
 def test_marks_do_not_stay():
     assert grids.decoded(codecs.BOM_UTF16_BE + "a,b".encode("utf-16-be")) == "a,b"
 
