@@ -394,6 +394,12 @@ def discovery_end_to_end(spark, sf_dir):
     return relate.discovered({n: table(spark, sf_dir, n) for n in TABLES})
 
 
+@query()
+def discovery_two_tables(spark, sf_dir):
+    """Relationships of a large table of facts and the table that it refers to."""
+    return relate.discovered({n: table(spark, sf_dir, n) for n in ("customer", "orders")})
+
+
 @query()
 def discovered_components(spark, sf_dir):
     """Groups of tables that the discovered relationships join."""
