@@ -86,6 +86,24 @@ def slices(n: int, size: int = 1000) -> Iterator[tuple[int, int]]:
         yield i, min(n, i + size)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
+    """Batches that come ordered by key, as tables of about ``most`` bytes that end where a group does."""
+    held, size, last = [], 0, None
+    for b in (x for x in batches if x.num_rows):
+        keys = b[key].to_numpy()
+        if size >= most:
+            turns = np.flatnonzero(np.append(keys[0] != last, keys[1:] != keys[:-1]))
+            if len(turns):
+                at = int(turns[-1])
+                yield pa.Table.from_batches([*held, b.slice(0, at)])
+                held, size, b = [], 0, b.slice(at)
+        held.append(b)
+        size += b.nbytes
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def byte_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Slices of about ``most`` bytes of texts, and of one text at least."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, materialised, text_bytes, with_row
+from .common import each_batch, materialised, text_bytes, whole_groups, with_row
 from .components import components
 
 SEED = 42
 PIVOTS = 24
 SPLIT_AT = 16_384
+#: Bytes of rows whose buckets are linked together.
+GATHER = 1 << 25
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -109,14 +111,13 @@ def linked(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tu
 
 
 def _links(radius: int):
+    """Rows come ordered by key, so that a task holds a few whole buckets at a time."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        key, side, fp, rep = (t[c].to_numpy() for c in ("key", "side", "fp", "rep"))
-        i, j = linked(key, side, fp, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
+        for t in whole_groups(batches, "key", GATHER):
+            key, side, fp, rep = (t[c].to_numpy() for c in ("key", "side", "fp", "rep"))
+            i, j = linked(key, side, fp, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
 
     return over
 
@@ -133,7 +134,7 @@ def links(fps: DataFrame, radius: int = 3, split_at: int = SPLIT_AT) -> DataFram
     side = F.when((F.col("n") == 1) | (F.col("own") == F.col("other")), F.lit(-1)).otherwise(F.col("own"))
     # a slice meets itself (all rows at side -1) and each other slice (its rows at side own)
     rows = spread.select(F.when(F.col("n") == 1, F.col("key")).otherwise(pair).alias("key"), side.alias("side"), "fp", "rep")
-    return rows.repartition(F.col("key")).mapInArrow(_links(radius), "a long, b long")
+    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_links(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", split_at: int = SPLIT_AT) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import window_kernel as wk
-from .common import materialised, slices, text_bytes
+from .common import materialised, slices, text_bytes, whole_groups
 
 GRAM = 24
 #: Rows that a task gathers before it drops its own repeats.
@@ -146,8 +146,7 @@ def _texts_of_open(depth: int):
 def _last_digits(depth: int):
     """Pass 3, second half: windows of runs that come ordered by key, by their bytes; all but the earliest of equals are repeats."""
 
-    def repeats(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
+    def repeats(t: pa.Table) -> pa.RecordBatch:
         done = t["done"].to_numpy()
         key, doc, row, at = (t[c].to_numpy() for c in ("key", "doc", "_row", "at"))
         bodies = [x or b"" for x in t["body"].to_pylist()]
@@ -169,21 +168,7 @@ def _last_digits(depth: int):
         return pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array(p[first]), pa.array(np.diff(np.append(first, len(p))).astype(np.int32))], names=["_row", "at", "n"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for b in (x for x in batches if x.num_rows):
-            key = b["key"].to_numpy()
-            if size >= BODIES:
-                # whole groups only
-                turns = np.flatnonzero(np.append(key[0] != last, key[1:] != key[:-1]))
-                if len(turns):
-                    at = int(turns[-1])
-                    yield repeats([*held, b.slice(0, at)])
-                    held, size, b = [], 0, b.slice(at)
-            held.append(b)
-            size += b["body"].nbytes
-            last = key[-1]
-        if held:
-            yield repeats(held)
+        yield from map(repeats, whole_groups(batches, "key", BODIES))
 
     return over
 
