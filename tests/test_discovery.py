@@ -39,7 +39,7 @@ def plain_pair(p, values):
 def test_all_tables_by_plain_sets(spark, sf_dir):
     tables = {n: queries.table(spark, sf_dir, n) for n in queries.TABLES}
     found, decided = relate.measured(tables)
-    asked = [r.asDict() for r in relate.pairs(relate.numbered(tables)).collect()]
+    asked = [r.asDict() for r in relate.pairs(found).collect()]
     values = {}
     for t, c in {(p[f"{s}_table"], p[f"{s}_column"]) for p in asked for s in ("left", "right")}:
         values[t, c] = [r[0] for r in tables[t].select(rendered(tables[t], c)).collect() if r[0] is not None]
@@ -51,7 +51,9 @@ def test_all_tables_by_plain_sets(spark, sf_dir):
         assert (r["containment"], r["coverage"]) == (pytest.approx(containment), pytest.approx(coverage)), p
         assert r["projection"] == kind or (containment, coverage) == (0, 0), p
         assert r["score"] == pytest.approx(min(1, round(0.7 * containment + 0.3 * p["name_similarity"] + 0.1 * p["same_signature"], 4)), abs=2e-4)
-    edges = relate.discovered(tables).collect()
+    more = relate.joint_keys(tables, found, decided)
+    whole = relate.edges(decided) if more is None else relate.edges(decided).unionByName(more)
+    edges = whole.collect()
     single = {(r["left_table"], r["left_columns"][0], r["right_table"], r["right_columns"][0]) for r in edges if r["kind"] == "fk"}
     assert single == {k for k, r in got.items() if r["decision"] in ("accepted", "named")}
     for r in got.values():
@@ -62,7 +64,8 @@ def test_all_tables_by_plain_sets(spark, sf_dir):
     for r in edges:
         met = [g for g in groups if r["left_table"] in g or r["right_table"] in g]
         groups = [g for g in groups if g not in met] + [set().union(*met)]
-    labels = {r["node"]: r["component"] for r in queries.discovered_components(spark, sf_dir).collect()}
+    nodes = spark.createDataFrame([(n,) for n in tables], "node string")
+    labels = {r["node"]: r["component"] for r in graph.components(nodes, whole.selectExpr("left_table AS a", "right_table AS b")).collect()}
     assert labels == {n: min(g) for g in groups for n in g}
 
 
