@@ -212,7 +212,8 @@ def repeated_windows(rows: DataFrame, depth: int = 100, split_at: int = 4096) ->
     """
     runs = rows.mapInArrow(_first_digit(depth, min(64, split_at)), "key long, digest long, doc long, _row long, at long, n int, digit long, state byte, several boolean")
     marked = materialised(_marked(runs, split_at), "runs")
-    dealt = rows.repartition(F.col("_row"))
+    # the filter that the inner join would add, here for both uses
+    dealt = rows.where(F.col("_row").isNotNull()).repartition(F.col("_row"))
     still = marked.where(F.col("state") == OPEN).groupBy("_row").agg(F.collect_list(F.struct(_packed().alias("s"), "digit", "many")).alias("x"))
     still = still.select("_row", F.col("x.s").alias("spots"), F.col("x.digit").alias("digits"), F.col("x.many").alias("many"))
     # with all columns, so that the texts are dealt once for both uses
