@@ -159,3 +159,35 @@ def test_rediscovery_drops_tables_that_are_gone(spark):
     old = spark.createDataFrame([("1", "a", "b", "rejected", "statistics"), ("2", "a", "gone", "confirmed", "user"), ("3", "a", "b", "confirmed", "user")], schema)
     new = spark.createDataFrame([("1", "a", "b", "proposed", "statistics"), ("4", "a", "b", "proposed", "statistics")], schema)
     assert {r["id"]: r["status"] for r in graph.rediscovered(old, new, ["a", "b"]).collect()} == {"1": "rejected", "4": "proposed", "3": "confirmed"}
+
+
+def test_sets_of_columns_are_counted_once(spark, monkeypatch):
+    """Keys of a set of columns are held once, however many tuples it is in, and beyond 62 sets too."""
+    rows = [(i % 3, i % 4, f"{i % 5}" if i % 7 else None) for i in range(60)]
+    left, right = (spark.createDataFrame(r, "a int, b int, c string") for r in (rows, rows[:17]))
+    sides = [(x, y) for x in "abc" for y in "abc" if x != y] + [(x,) for x in "abc"]
+    tried = [relate.Tuples("left", l, "right", r) for l in sides for r in sides if len(l) == len(r)] * 2
+    held = []
+    monkeypatch.setattr(relate, "written", lambda df, name: held.append(df) or df)
+    monkeypatch.setattr(relate, "WORD", 4)
+    got = {r["tried"]: r for r in relate.tuple_measures({"left": left, "right": right}, tried).collect()}
+    assert held[0].select("spec").distinct().count() == 2 * len(sides)
+
+    def keys(rows, columns):
+        values = [tuple(row["abc".index(c)] for c in columns) for row in rows]
+        return [tuple(map(str, v)) for v in values if None not in v]
+
+    for i, t in enumerate(tried):
+        a, b = keys(rows, t.left_columns), keys(rows[:17], t.right_columns)
+        assert [got[i][x] for x in ("a", "b", "shared", "rows_a", "rows_b", "all_a", "all_b")] == [len(set(a)), len(set(b)), len(set(a) & set(b)), len(a), len(b), 60, 17], t
+
+
+def test_tuples_that_cannot_be_keys_are_not_read():
+    column = lambda n, rows, blank=0: {"n_distinct": n, "n_rows": rows, "n_null": 0, "n_blank": blank}
+    few = {("l", "a"): column(3, 100), ("l", "b"): column(4, 100), ("r", "a"): column(5, 100), ("r", "b"): column(20, 100)}
+    assert relate._may_be_unique(relate.Tuples("l", ("a", "b"), "r", ("a", "b")), few)
+    few["r", "b"] = column(18, 100)
+    assert not relate._may_be_unique(relate.Tuples("l", ("a", "b"), "r", ("a", "b")), few)
+    few["r", "a"] = column(5, 100, 10)
+    assert relate._may_be_unique(relate.Tuples("l", ("a", "b"), "r", ("a", "b")), few)
+    assert not relate._may_be_unique(relate.Tuples("l", ("a",), "r", ("a",), "month"), few)
