@@ -53,3 +53,9 @@ def test_runs(spark, sf_dir, name):
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = queries.filter_count(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus)" in plan and "o_totalprice" not in plan
+
+
+def test_no_sketch_for_each_value(spark, sf_dir):
+    plan = queries.approximate_distinct(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line and "Aggregate" in line]
+    assert sketches and all("keys=[]" in line for line in sketches)
