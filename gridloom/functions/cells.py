@@ -32,17 +32,21 @@ NUMERIC_LIKE = r"^[\s$€£₹(]*-?[\d,]+(\.\d+)?\s*[%)]?$"
 DATE_LIKE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
 EU_DECIMAL = r"^[^\d-]*-?\d{1,3}(\.\d{3})*,\d{1,2}[^\d]*$"
 US_DECIMAL = r"^[^\d-]*-?\d{1,3}(,\d{3})*\.\d{1,2}[^\d]*$"
+#: What no spelling of a number holds.
+NO_NUMBER = r"[^0-9eE+\-.,$€£₹¥%()\s\x{85}\x{2028}\x{2029}]"
 NUMBER = r"^-?\d*\.?\d+([eE][-+]?\d+)?$"
 DAY_MONTH = r"^(\d{1,2})[/-](\d{1,2})[/-]\d{2,4}"
+# days and months that no calendar has are left out here, as a failed parse costs many times a match
+_DAY, _MONTH = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])"
 #: Spark datetime patterns that a column can be in, and the text that each takes.
 DATE_FORMATS = {
     "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
     "yyyy-MM": r"^\d{4}-\d{2}$",
     "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
-    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
-    "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d/M/yyyy": rf"^{_DAY}/{_MONTH}/\d{{4}}$",
+    "M/d/yyyy": rf"^{_MONTH}/{_DAY}/\d{{4}}$",
+    "d-M-yyyy": rf"^{_DAY}-{_MONTH}-\d{{4}}$",
+    "M-d-yyyy": rf"^{_MONTH}-{_DAY}-\d{{4}}$",
     "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
     "yyyyMMdd": r"^(19|20)\d{6}$",
     "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
@@ -68,7 +72,7 @@ def number_text(cell: Column, european: Column) -> Column:
     local = F.when(european, F.replace(F.replace(cell, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(cell)
     signed = F.regexp_replace(local, r"^\((.*)\)$", "-$1")
     bare = F.regexp_replace(F.regexp_replace(signed, "%$", ""), r"[$€£₹¥,\s]", "")
-    return F.when(bare.rlike(NUMBER), bare)
+    return F.when(~cell.rlike(NO_NUMBER), F.when(bare.rlike(NUMBER), bare))
 
 
 def number(cell: Column, european: Column) -> Column:
@@ -83,7 +87,7 @@ def is_integer_text(cell: Column) -> Column:
 def overflows(cell: Column) -> Column:
     """Whether a plain integer is beyond 64 bits."""
     digits = F.regexp_replace(cell, "^[-+]?0*", "")
-    return is_integer_text(cell) & ((F.length(digits) > 19) | ((F.length(digits) == 19) & (digits > "9223372036854775807")))
+    return (F.length(cell) >= 19) & is_integer_text(cell) & ((F.length(digits) > 19) | ((F.length(digits) == 19) & (digits > "9223372036854775807")))
 
 
 def day(cell: Column, group: int) -> Column:

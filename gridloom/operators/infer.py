@@ -30,10 +30,13 @@ def decided(values: DataFrame) -> DataFrame:
     # every spelling is read once a cell; only text that starts like a date is held against the date formats
     dated = F.when(v.rlike(MAY_BE_A_DATE), v)
     us = cells.number(v, F.lit(False))
-    read = values.select(
+    # a value's spellings are held against all shapes once, with the rows that hold it
+    once = values.groupBy("column_name", "position", "v").agg(F.count(F.lit(1)).alias("rows"))
+    read = once.select(
         "column_name",
         "position",
         "v",
+        "rows",
         us.alias("us"),
         F.when(v.rlike("[.,]"), cells.number(v, F.lit(True))).otherwise(us).alias("eu"),
         cells.boolean(v).isNotNull().alias("is_boolean"),
@@ -41,20 +44,21 @@ def decided(values: DataFrame) -> DataFrame:
         cells.day(dated, 2).alias("second_day"),
         *(cells.parsed(dated, p).isNotNull().alias(f"is_date_{i}") for i, p in enumerate(cells.DATE_FORMATS)),
     )
+    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("rows"))), F.lit(0))
     votes = read.groupBy("column_name", "position").agg(
-        F.count("v").alias("n"),
-        F.count("us").alias("us"),
-        F.count("eu").alias("eu"),
-        F.count_if(F.col("us") % 1 == 0).alias("us_whole"),
-        F.count_if(F.col("eu") % 1 == 0).alias("eu_whole"),
-        F.count_if(v.rlike(cells.EU_DECIMAL)).alias("eu_votes"),
-        F.count_if(v.rlike(cells.US_DECIMAL)).alias("us_votes"),
-        F.count_if(v.rlike(LEADING_ZERO) | cells.overflows(v)).alias("vetoes"),
-        F.count_if(F.col("first_day") > 12).alias("first_days"),
-        F.count_if(F.col("second_day") > 12).alias("second_days"),
-        F.count_if("is_boolean").alias("booleans"),
+        count(v.isNotNull()).alias("n"),
+        count(F.col("us").isNotNull()).alias("us"),
+        count(F.col("eu").isNotNull()).alias("eu"),
+        count(F.col("us") % 1 == 0).alias("us_whole"),
+        count(F.col("eu") % 1 == 0).alias("eu_whole"),
+        count(F.contains(v, F.lit(",")) & v.rlike(cells.EU_DECIMAL)).alias("eu_votes"),
+        count(F.contains(v, F.lit(".")) & v.rlike(cells.US_DECIMAL)).alias("us_votes"),
+        count(v.rlike(LEADING_ZERO) | cells.overflows(v)).alias("vetoes"),
+        count(F.col("first_day") > 12).alias("first_days"),
+        count(F.col("second_day") > 12).alias("second_days"),
+        count(F.col("is_boolean")).alias("booleans"),
         F.size(F.collect_set(F.when(F.col("is_boolean"), F.lower(v)))).alias("spellings"),
-        *(F.count_if(f"is_date_{i}").alias(f"date_{i}") for i in range(len(cells.DATE_FORMATS))),
+        *(count(F.col(f"is_date_{i}")).alias(f"date_{i}") for i in range(len(cells.DATE_FORMATS))),
     )
     european = (F.col("eu_votes") > F.col("us_votes")) & (F.col("eu_votes") > 0)
     fits = F.when(european, F.col("eu")).otherwise(F.col("us")) == F.col("n")

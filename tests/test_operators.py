@@ -139,3 +139,12 @@ def test_bm25(spark):
     counts = bm25.term_counts(docs, "id", bm25.tokens(F.col("text")))
     asked = spark.createDataFrame([("customer",), ("amount",)], "term string")
     assert [r["doc"] for r in bm25.ranked(counts, 3, asked).collect()][0] == 1
+
+
+def test_equal_values_are_read_once(spark):
+    df = spark.range(4000).selectExpr("concat(lpad(1 + id % 28, 2, '0'), '/', lpad(1 + id % 12, 2, '0'), '/2024') AS d", "concat(id % 7, ',', 10 + id % 30) AS x")
+    plan = infer.inferred(df)
+    read = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert read.count("Aggregate [") == 2
+    got = {r["column_name"]: (r["target"], r["european"], r["pattern"]) for r in plan.collect()}
+    assert got == {"d": ("timestamp", False, "d/M/yyyy"), "x": ("double", True, None)}
