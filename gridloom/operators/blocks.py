@@ -6,6 +6,8 @@ of one large sheet sort and spill like any others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +26,18 @@ TOTALS = r"(?i)^(sub\s*total|total|grand\s*total|net|gross|balance|c?gst|sgst|ig
 TOTALS_SHARE = 0.6
 SHEET = ("file", "sheet")
 REGION = (*SHEET, "region")
+#: A region's first and last row and column, and its cells; columns of every cell in it.
+EXTENT = ("top", "bottom", "left", "right", "cells")
+#: Kinds as bits.
+BITS = {"empty": 8, "text": 4, "number": 2, "date": 1}
 #: Rounds of cutting by empty rows, then by empty columns; a cut is a row's and a column's, so six deep.
 ROUNDS = 3
 
 
 def _islands(cells: DataFrame, axis: str) -> DataFrame:
-    """cells with their region split wherever the axis has a gap."""
-    order = Window.partitionBy(*REGION).orderBy(axis, "col" if axis == "row" else "row")
-    gap = F.coalesce((F.col(axis) - F.lag(axis).over(order) > 1).cast("int"), F.lit(0))
-    island = F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return cells.withColumn("gap", gap).withColumn("region", F.concat("region", F.lit("."), F.format_string("%06d", island))).drop("gap")
+    """cells with their region split wherever the axis has a gap: what a place is ahead of its rank is the same on an island only."""
+    ahead = F.col(axis) + 1 - F.dense_rank().over(Window.partitionBy(*REGION).orderBy(axis))
+    return cells.withColumn("region", F.concat("region", F.lit("."), F.lpad(ahead.cast("string"), 10, "0")))
 
 
 def regions(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -46,34 +50,40 @@ def regions(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return out
 
 
+def extended(found: DataFrame) -> DataFrame:
+    """Cells with their region's extent."""
+    own = Window.partitionBy(*REGION)
+    return found.withColumns({"top": F.min("row").over(own), "bottom": F.max("row").over(own), "left": F.min("col").over(own), "right": F.max("col").over(own), "cells": F.count(F.lit(1)).over(own)})
+
+
 def viable(found: DataFrame) -> DataFrame:
-    """Regions of at least two rows and three cells: their extent and numbers."""
-    return extents(found).where((F.col("bottom") - F.col("top") + 1 >= LEAST_ROWS) & (F.col("cells") >= LEAST_CELLS))
+    """The cells of regions of at least two rows and three cells."""
+    return found.where((F.col("bottom") - F.col("top") + 1 >= LEAST_ROWS) & (F.col("cells") >= LEAST_CELLS))
 
 
-def row_facts(cells: DataFrame) -> DataFrame:
-    """(region, row, cols, values, populated, words, different, wordy, label, doubled, numbering) of rows of cells.
+def row_facts(found: DataFrame) -> DataFrame:
+    """(region, extent, row, cols, values, populated, words, different, wordy, label, doubled, numbering) of rows of cells.
 
     wordy: seven in ten are no figures; label: wordy and none ends with a colon; doubled: a value stands twice side by
     side; numbering: counts up from 1 or 2 in steps of 2 at most.
     """
-    order = Window.partitionBy(*REGION, "row").orderBy("col")
-    low = F.lower(F.trim("value"))
-    beside = cells.withColumn("twice", (F.lag("col").over(order) == F.col("col") - 1) & (F.lag(low).over(order) == low))
-    facts = beside.groupBy(*REGION, "row").agg(
-        F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"),
+    facts = found.groupBy(*REGION, *EXTENT, "row").agg(
+        F.sort_array(F.collect_list(F.struct("col", "value"))).alias("line"),
         F.count(F.lit(1)).alias("populated"),
         F.count_if(kind(F.trim("value")) == "text").alias("words"),
-        F.count_distinct(low).alias("different"),
-        F.coalesce(F.bool_or("twice"), F.lit(False)).alias("doubled"),
         F.bool_or(F.trim("value").endswith(":")).alias("colon"),
     )
-    values = F.transform("cells", lambda c: c["value"])
+    facts = facts.withColumn("low", F.when(F.col("populated") > 1, F.transform("line", lambda c: F.lower(F.trim(c["value"])))))
+    beside = F.zip_with(F.slice("line", 2, F.size("line")), F.slice("line", 1, F.size("line") - 1), lambda c, before: c["col"] == before["col"] + 1)
+    twice = F.zip_with(F.slice("low", 2, F.size("low")), F.slice("low", 1, F.size("low") - 1), lambda v, before: v == before)
+    doubled = (F.col("populated") > 1) & F.exists(F.zip_with(beside, twice, lambda a, b: a & b), lambda x: x)
+    facts = facts.withColumns({"doubled": doubled, "different": F.when(F.col("populated") > 1, F.size(F.array_distinct("low"))).otherwise(1)})
+    values = F.transform("line", lambda c: c["value"])
     numbers = F.transform(values, lambda v: F.trim(v).try_cast("int"))
     steps = F.zip_with(F.slice(numbers, 1, F.size(numbers) - 1), F.slice(numbers, 2, F.size(numbers)), lambda a, b: b - a)
-    numbering = (F.size(numbers) >= 3) & F.forall(numbers, lambda n: n.isNotNull()) & (F.element_at(numbers, 1) <= 2) & F.forall(F.slice(steps, 1, F.size(numbers) - 1), lambda d: d.between(0, 2))
+    numbering = (F.col("populated") >= 3) & F.forall(numbers, lambda n: n.isNotNull()) & (F.element_at(numbers, 1) <= 2) & F.forall(F.slice(steps, 1, F.size(numbers) - 1), lambda d: d.between(0, 2))
     wordy = F.col("words") >= 0.7 * F.col("populated")
-    return facts.select(*REGION, "row", F.transform("cells", lambda c: c["col"]).alias("cols"), values.alias("values"), "populated", "words", "different", wordy.alias("wordy"), (wordy & ~F.col("colon")).alias("label"), "doubled", F.coalesce(numbering, F.lit(False)).alias("numbering"))
+    return facts.select(*REGION, *EXTENT, "row", F.transform("line", lambda c: c["col"]).alias("cols"), values.alias("values"), "populated", "words", "different", wordy.alias("wordy"), (wordy & ~F.col("colon")).alias("label"), "doubled", F.coalesce(numbering, F.lit(False)).alias("numbering"))
 
 
 def labels_group(upper: Column, below_cols: Column) -> Column:
@@ -82,24 +92,28 @@ def labels_group(upper: Column, below_cols: Column) -> Column:
     return upper["label"] & (upper["doubled"] | some)
 
 
-def header_rows(found: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Facts of the first rows of every region of boxes, with ``data_like`` and, for rows that can be its header, ``score``."""
-    inside = found.join(boxes, list(REGION)).withColumn("kind", kind(F.trim("value")))
-    width = F.col("right") - F.col("left") + 1
-    heads = inside.where(F.col("row") < F.col("top") + HEADER_SCAN + BAND_DOWN)
-    facts = row_facts(heads.select(*REGION, "row", "col", "value"))
-    below = inside.select(*REGION, "row", "col", "kind").join(facts.select(*REGION, F.col("row").alias("head")), list(REGION)).where((F.col("row") > F.col("head")) & (F.col("row") <= F.col("head") + SAMPLE_ROWS))
-    columns = below.groupBy(*REGION, "head", "col").agg(F.count_distinct("kind").alias("kinds"), F.min("kind").alias("one"))
-    own = heads.select(*REGION, F.col("row").alias("head"), "col", F.col("kind").alias("own"))
-    typed = (F.col("kinds") == 1) & (F.col("one") != "text") & F.col("own").isNotNull()
-    compared = columns.join(own, [*REGION, "head", "col"], "left").groupBy(*REGION, F.col("head").alias("row")).agg(
-        F.avg((F.col("kinds") == 1).cast("int")).alias("steady"),
+def header_rows(found: DataFrame) -> DataFrame:
+    """Facts of the first rows of every region, with ``data_like`` and, for rows that can be its header, ``score``."""
+    width, n = F.col("right") - F.col("left") + 1, HEADER_SCAN + BAND_DOWN
+    facts = row_facts(found.where(F.col("row") < F.col("top") + n))
+    # kinds in each column of a first row, and of the rows below it
+    name = kind(F.trim("value"))
+    bit = reduce(lambda c, k: c.when(name == k, BITS[k]), BITS, F).cast("int")
+    at = F.col("row") - F.col("top")
+    first = found.where(at < n + SAMPLE_ROWS).select(*REGION, "top", "col", at.alias("at"), bit.alias("bit"))
+    masks = [F.bit_or(F.when(on, F.col("bit"))).alias(f"{c}{i}") for i in range(n) for c, on in (("below", (F.col("at") > i) & (F.col("at") <= i + SAMPLE_ROWS)), ("own", F.col("at") == i))]
+    columns = first.groupBy(*REGION, "top", "col").agg(*masks)
+    columns = columns.select(*REGION, "top", F.posexplode(F.array(*(F.struct(F.col(f"below{i}").alias("below"), F.col(f"own{i}").alias("own")) for i in range(n)))).alias("i", "k"))
+    one = F.col("k.below").isin(*BITS.values())
+    typed = one & (F.col("k.below") != BITS["text"]) & F.col("k.own").isNotNull()
+    compared = columns.where("k.below IS NOT NULL").groupBy(*REGION, (F.col("top") + F.col("i")).alias("row")).agg(
+        F.avg(one.cast("int")).alias("steady"),
         F.count_if(typed).alias("typed"),
-        F.count_if(typed & (F.col("own") == F.col("one"))).alias("alike"),
+        F.count_if(typed & (F.col("k.own") == F.col("k.below"))).alias("alike"),
     )
     # two rows below at least tell what the columns hold
     enough = F.col("bottom") - F.col("row") >= 2
-    joined = facts.join(compared, [*REGION, "row"], "left").join(boxes, list(REGION)).withColumn("data_like", F.coalesce(enough & (F.col("typed") > 0) & (F.col("alike") >= 0.75 * F.col("typed")), F.lit(False)))
+    joined = facts.join(compared, [*REGION, "row"], "left").withColumn("data_like", F.coalesce(enough & (F.col("typed") > 0) & (F.col("alike") >= 0.75 * F.col("typed")), F.lit(False)))
     points = (
         F.when(F.col("wordy"), 2).otherwise(0)
         + F.when(F.col("populated") == width, 1).otherwise(0)
@@ -150,32 +164,37 @@ def headers(rows: DataFrame) -> DataFrame:
 
 def extents(found: DataFrame) -> DataFrame:
     """(region, top, bottom, left, right, cells) of every region."""
-    return found.groupBy(*REGION).agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"), F.count(F.lit(1)).alias("cells"))
+    return found.select(*REGION, *EXTENT).distinct()
 
 
-def rejoined(found: DataFrame) -> DataFrame:
-    """Regions that an empty row cut out of one table made one again.
+def rejoined(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions that an empty row cut out of one table made one again, and the headers of all; found: a stored table.
 
     A region goes on with the one before it, of the same columns, if it has no header of its own, or if the last row of the one
-    before labels groups of the columns in its first row.
+    before labels groups of the columns in its first row.  Headers are looked for anew in regions that were put together only.
     """
-    boxes = extents(found)
-    heads = headers(header_rows(found, boxes))
-    edge = lambda side: row_facts(found.join(boxes.select(*REGION, F.col(side).alias("row")), [*REGION, "row"])).select(*REGION, F.struct("cols", "label", "doubled").alias(side + "_row"))
-    every = boxes.join(heads, list(REGION)).join(edge("top"), list(REGION)).join(edge("bottom"), list(REGION))
+    heads = written(headers(header_rows(found)), "headers")
+    edge = lambda side: row_facts(found.where(F.col("row") == F.col(side))).select(*REGION, F.struct("cols", "label", "doubled").alias(side + "_row"))
+    every = extents(found).join(heads, list(REGION)).join(edge("top"), list(REGION)).join(edge("bottom"), list(REGION))
     order = Window.partitionBy(*SHEET).orderBy("region")
     before = lambda c: F.lag(c).over(order)
-    told = every.select(*REGION, "header", "top_row", before("bottom_row").alias("above"), ((before("left") == F.col("left")) & (before("right") == F.col("right"))).alias("same"))
+    told = every.select(*REGION, *EXTENT, "header", "top_row", before("bottom_row").alias("above"), ((before("left") == F.col("left")) & (before("right") == F.col("right"))).alias("same"))
     split = (F.size("above.cols") >= 2) & labels_group(F.col("above"), F.col("top_row.cols"))
     told = told.withColumn("new", (~F.coalesce(F.col("same") & ((F.col("header") < 0) | split), F.lit(False))).cast("int"))
     group = told.withColumn("group", F.sum("new").over(order))
-    to = group.select(*REGION, F.min("region").over(Window.partitionBy(*SHEET, "group")).alias("to"))
-    return found.join(to, list(REGION)).select(*SHEET, F.col("to").alias("region"), "row", "col", "value")
+    one = Window.partitionBy(*SHEET, "group")
+    whole = {"region": F.min, "top": F.min, "bottom": F.max, "left": F.min, "right": F.max, "cells": F.sum}
+    moved = group.select(*REGION, F.count(F.lit(1)).over(one).alias("n"), F.struct(*(f(c).over(one).alias(c) for c, f in whole.items())).alias("to")).where("n > 1")
+    moved = written(moved.select(*REGION, "to"), "moved")
+    out = found.join(moved, list(REGION), "left").select(*SHEET, *(F.coalesce(F.col("to")[c], F.col(c)).alias(c) for c in whole), "row", "col", "value", F.col("to").isNotNull().alias("moved"))
+    out = written(out, "regions")
+    anew = headers(header_rows(out.where("moved")))
+    return out.drop("moved"), written(heads.join(moved.select(*REGION), list(REGION), "left_anti").unionByName(anew), "headers")
 
 
-def column_names(found: DataFrame, boxes: DataFrame, heads: DataFrame) -> DataFrame:
+def column_names(found: DataFrame, heads: DataFrame) -> DataFrame:
     """(region, col, column_name): safe and unique names of the header's rows put together; col_i where there is no header cell."""
-    places = boxes.join(heads, list(REGION)).select(*REGION, "left", F.explode(F.sequence("left", "right")).alias("col"))
+    places = extents(found).join(heads, list(REGION)).select(*REGION, "left", F.explode(F.sequence("left", "right")).alias("col"))
     band = found.join(heads, list(REGION)).where((F.col("header") >= 0) & F.col("row").between(F.col("header"), F.col("last")) & ~F.array_contains("skipped", F.col("row")))
     parts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row", F.trim("value").alias("value")))), lambda x: x["value"]))
     raw = band.groupBy(*REGION, "col").agg(F.array_join(parts, " ").alias("raw"))
@@ -184,27 +203,31 @@ def column_names(found: DataFrame, boxes: DataFrame, heads: DataFrame) -> DataFr
     return named.select(*REGION, "col", F.col("raw").alias("raw_name"), F.when(nth == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), nth.cast("string"))).alias("column_name"))
 
 
-def data_cells(found: DataFrame, boxes: DataFrame, heads: DataFrame) -> DataFrame:
+def data_cells(found: DataFrame, heads: DataFrame) -> DataFrame:
     """The cells below the headers, without trailing totals, notes and lone first cells."""
-    inside = found.join(boxes.select(*REGION, "top", "left", "right"), list(REGION)).join(heads.select(*REGION, "header", "last"), list(REGION)).where(F.col("row") > F.col("last"))
-    width = F.col("right") - F.col("left") + 1
-    rows = inside.groupBy(*REGION, "row").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("col", "value")).alias("first"), F.first("left").alias("left"), F.first(width).alias("width"))
-    junk = (F.col("width") > 1) & (F.col("first.col") == F.col("left")) & ((F.col("n") == 1) | (F.trim("first.value").rlike(JUNK) & (F.col("n") < F.col("width"))))
+    inside = found.join(heads.select(*REGION, "header", "last"), list(REGION)).where(F.col("row") > F.col("last"))
+    leads = F.col("col") == F.col("left")
+    rows = inside.groupBy(*REGION, "row", (F.col("right") - F.col("left") + 1).alias("width")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(leads).alias("leads"), F.bool_or(leads & F.trim("value").rlike(JUNK)).alias("said"))
+    junk = (F.col("width") > 1) & F.col("leads") & ((F.col("n") == 1) | (F.col("said") & (F.col("n") < F.col("width"))))
     end = rows.groupBy(*REGION).agg(F.max(F.when(~junk, F.col("row"))).alias("end"))
     return inside.join(end, list(REGION)).where(F.col("row") <= F.col("end")).select(*REGION, "row", "col", "value", "header")
 
 
+def _cut(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions' cells and headers, stored."""
+    return rejoined(written(extended(regions(cells)), "regions"))
+
+
 def tables(cells: DataFrame) -> DataFrame:
     """Long form of every table found: file, sheet (empty for files without), block (from 1), header, row, col, column_name, value."""
-    return _tables(written(rejoined(written(regions(cells), "regions")), "regions"))[0].drop("region")
+    return _tables(*_cut(cells)).drop("region")
 
 
-def _tables(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    boxes = viable(found)
-    heads = written(headers(header_rows(found, boxes)), "headers")
-    named = data_cells(found, boxes, heads).join(column_names(found, boxes, heads).drop("raw_name"), [*REGION, "col"])
+def _tables(cut: DataFrame, heads: DataFrame) -> DataFrame:
+    found = viable(cut)
+    named = data_cells(found, heads).join(column_names(found, heads).drop("raw_name"), [*REGION, "col"])
     block = F.dense_rank().over(Window.partitionBy(*SHEET).orderBy("region"))
-    return named.select(*REGION, block.alias("block"), "header", "row", "col", "column_name", "value"), heads
+    return named.select(*REGION, block.alias("block"), "header", "row", "col", "column_name", "value")
 
 
 def sheets(cells: DataFrame) -> DataFrame:
@@ -213,9 +236,9 @@ def sheets(cells: DataFrame) -> DataFrame:
     A sheet that reads as a form is one table of (section, item, value).  Else, where it has a table of substance, its
     fragments (a row or two, totals, cells outside of tables) are folded into one such table beside it.
     """
-    cut = written(rejoined(written(regions(cells), "regions")), "regions")
-    long, heads = _tables(cut)
-    long = written(long, "tables")
+    cut, heads = _cut(cells)
+    long = written(_tables(cut, heads), "tables")
+    cut = cut.drop(*EXTENT)
     blocks_ = long.groupBy(*REGION, "block").agg(F.count_distinct("row").alias("n_rows")).join(totals_blocks(long).drop("share"), [*SHEET, "block"])
     names = long.select(*REGION, "column_name").distinct().groupBy(*SHEET).agg(F.avg(F.col("column_name").rlike(r"^col_\d+$").cast("int")).alias("made_up"))
     size = cut.groupBy(*SHEET).agg((F.max("row") + 1).alias("rows"), (F.count(F.lit(1)) / ((F.max("row") + 1) * (F.max("col") + 1))).alias("density"))

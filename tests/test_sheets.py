@@ -98,3 +98,12 @@ def test_form_lines_of_documents(spark, sf_dir):
     want = sorted((f, *line) for f, grid in grids.items() for line in plain_lines(grid))
     got = sorted((r["file"], r["row"], r["section"], r["item"], r["value"]) for r in queries.forms_in_documents(spark, sf_dir).collect())
     assert got == want
+
+
+def test_cuts_of_blocks(spark):
+    grid = [["a", "b"], ["1", "2"], ["3", "4"], [], ["x", "y", "", "p", "q"], ["5", "6", "", "7", "8"], ["9", "1", "", "2", "3"]]
+    found = blocks.extended(blocks.regions(cells_of(spark, grid))).persist()
+    assert sorted(tuple(r)[2:] for r in blocks.extents(found).drop("region").withColumn("k", F.lit(1)).select("file", "sheet", *blocks.EXTENT).collect()) == [(0, 2, 0, 1, 6), (4, 6, 0, 1, 6), (4, 6, 3, 4, 6)]
+    plan = blocks.header_rows(found)._jdf.queryExecution().optimizedPlan().toString()
+    # rows below a header are not joined with it one by one
+    assert plan.count("Join ") == 1
