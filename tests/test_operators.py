@@ -141,6 +141,23 @@ def test_bm25(spark):
     assert [r["doc"] for r in bm25.ranked(counts, 3, asked).collect()][0] == 1
 
 
+def test_terms_of_words_as_rows(spark):
+    texts = ["Orders, ORDERS of the custIDs 12ab İstanbul \u212aelvin Straße keys no. 007", "", None, "ADDRESSES cats bus Qty QTY the The"]
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "id int, text string")
+    assert [r[0] for r in docs.where("id = 0").select(F.explode(bm25.words(F.col("text")))).collect()][:4] == ["orders", "orders", "custids", "12"]
+    plain = bm25.term_counts(docs, "id", bm25.tokens(F.col("text")))
+    got = bm25.text_terms(docs, "id", F.col("text"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and {"kelvin", "i", "stanbul"} <= {r["term"] for r in got.collect()}
+    read = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in read
+
+
+def test_ranked_leaves_other_terms_before_shuffles(spark):
+    docs = spark.range(400).selectExpr("id", "concat('alpha', id % 3, ' word', id, ' license') AS text")
+    plan = bm25.ranked(bm25.text_terms(docs, "id", F.col("text")), 400, spark.createDataFrame([("alpha1",), ("license",)], "term string"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [term" in plan and "SortMergeJoin [term" not in plan
+
+
 def test_equal_values_are_read_once(spark):
     df = spark.range(4000).selectExpr("concat(lpad(1 + id % 28, 2, '0'), '/', lpad(1 + id % 12, 2, '0'), '/2024') AS d", "concat(id % 7, ',', 10 + id % 30) AS x")
     plan = infer.inferred(df)
