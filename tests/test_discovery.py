@@ -1,6 +1,8 @@
 """Discovery of all given tables against plain sets, and keys of several columns and of cut dates."""
 
 import datetime as dt
+import hashlib
+import itertools
 import re
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom import queries
 from gridloom.functions.projections import rendered
-from gridloom.operators import graph, relate
+from gridloom.operators import graph, profile, relate
 from gridloom.plans import grounding, present, route
 from gridloom.session import Session
 
@@ -191,3 +193,72 @@ def test_tuples_that_cannot_be_keys_are_not_read():
     few["r", "a"] = column(5, 100, 10)
     assert relate._may_be_unique(relate.Tuples("l", ("a", "b"), "r", ("a", "b")), few)
     assert not relate._may_be_unique(relate.Tuples("l", ("a",), "r", ("a",), "month"), few)
+
+
+def test_long_texts_are_counted_without_their_text(spark):
+    """Profiles and pairs of texts that are counted by their digests, as of plain values."""
+    long = [f" Text {i} " + "and some more words " * 20 for i in range(6)]
+    digits, blank = ["7" * 300, "8" * 300, "9" * 300], " " * 200
+    rows = [(v, d) for v, d in zip([*long, long[0], None, "short", blank], [*digits, *digits, *digits, None], strict=True)]
+    left = spark.createDataFrame(rows, "story string, number string").coalesce(1)
+    counts = profile.value_counts({"l": left})
+    shuffled = [r for r in counts.collect() if r["n"]]
+    assert sum(r["n"] for r in shuffled) == 20 and max(len(v) for r in shuffled for v in (r["text"], r["head"]) if v) <= profile.LONG
+    got = {r["column_name"]: r for r in profile.profiles({"l": left}).collect()}
+    story, number = got["story"], got["number"]
+    assert (story["n_rows"], story["n_distinct"], story["n_null"], story["n_blank"]) == (10, 8, 1, 1)
+    assert (story["min_value"], story["max_value"], story["samples"]) == (blank, "short", [x[:40] for x in long[:5]])
+    assert (number["min_value"], number["max_value"], number["n_distinct"], number["regex_signature"]) == (digits[0], digits[2], 3, r"^\d{300}$")
+
+
+def test_long_texts_meet(spark):
+    long = [f" Text {i} " + "and some more words " * 20 for i in range(30)]
+    left = spark.createDataFrame([(v, v.lower()) for v in long], "id string, other string")
+    right = spark.createDataFrame([(v.strip().lower(), hashlib.sha256(v.encode()).hexdigest()) for v in long[:20]], "id string, digest string")
+    _, decided = relate.measured({"left_side": left, "right_side": right})
+    got = {(r["left_column"], r["right_column"]): (r["projection"], r["containment"], r["numeric_values"]) for r in decided.collect()}
+    assert got["id", "id"] == ("lower_trim", 1.0, False) and got["id", "digest"][1] == 0 == got["other", "digest"][1]
+    numbers = relate.values({"x": spark.createDataFrame([("1" * 90,), ("a" * 90,), ("12",), ("b",)], "v string")}).where("projection = 'raw'")
+    assert sorted(r[0] for r in numbers.select(relate.is_number(F.col("value"))).collect()) == [False, False, True, True]
+    assert max(len(r["value"]) for r in numbers.collect()) <= relate.KEY + 1
+
+
+def plain_composites(tables, found, decided):
+    """Of each pair of tables the best of all tuples, if its names are alike, by sets."""
+    pairs = [r.asDict() for r in decided.where("containment >= 0.2").collect()]
+    counted = {(r["table_name"], r["column_name"]): r.asDict() for r in found.collect()}
+    rows = {n: df.collect() for n, df in tables.items()}
+    out = set()
+    for l, r in itertools.combinations(tables, 2):
+        own = sorted((p for p in pairs if (p["left_table"], p["right_table"]) == (l, r)), key=lambda p: (-p["containment"], p["left_column"], p["right_column"]))
+        good = []
+        for i, t in enumerate(relate.combos(l, r, [(p["left_column"], p["right_column"]) for p in own])):
+            a, b = ([tuple(str(row[c]).strip().lower() for c in cs) for row in rows[n]] for n, cs in ((l, t.left_columns), (r, t.right_columns)))
+            contained = len(set(a) & set(b)) / min(len(set(a)), len(set(b)))
+            if contained >= 0.8 and max(len(set(x)) / len(x) for x in (a, b)) >= 0.95 and relate._may_be_unique(t, counted):
+                good.append((len(t.left_columns), -contained, i, t))
+        if good:
+            t = min(good)[3]
+            names = {(p["left_column"], p["right_column"]): p["name_similarity"] for p in own}
+            if min(names[x] for x in zip(t.left_columns, t.right_columns, strict=True)) >= 0.5:
+                out.add((l, t.left_columns, r, t.right_columns))
+    return out
+
+
+def test_tuples_that_decide_nothing_are_not_tried(spark, monkeypatch):
+    cells = [(m, r) for m in ("jan", "feb", "mar", "apr", "may", "jun") for r in ("north", "east", "south", "west")]
+    named = spark.createDataFrame([(*c, i * 0.5) for i, c in enumerate(cells)], "month string, region string, x double")
+    alike = spark.createDataFrame([(c[0], c[1].upper(), i * 0.25 + 100) for i, c in enumerate(cells)], "month string, region string, y double")
+    unlike = spark.createDataFrame([(*c, i * 0.75 + 900) for i, c in enumerate(cells)], "period string, area string, z double")
+    # the tuple of unlike names (first, second) is the better one
+    rival = spark.createDataFrame([(*c, *(cells[i] if i < 22 else ("none", str(i)))) for i, c in enumerate(cells)], "first string, second string, month string, region string")
+    tables = {"named": named, "alike": alike, "unlike": unlike, "rival": rival}
+    tried, measures = [], relate.tuple_measures
+    monkeypatch.setattr(relate, "tuple_measures", lambda ts, t: (tried.append(t), measures(ts, t))[1])
+    monkeypatch.setattr(relate, "BATCH", 100)
+    found, decided = relate.measured(tables)
+    more = relate.joint_keys(tables, found, decided)
+    got = set() if more is None else {(r["left_table"], tuple(r["left_columns"]), r["right_table"], tuple(r["right_columns"])) for r in more.collect() if r["kind"] == "composite"}
+    assert got == plain_composites(tables, found, decided) and ("named", "alike") in {(x[0], x[2]) for x in got} and ("named", "rival") not in {(x[0], x[2]) for x in got}
+    assert all({t.left, t.right} != {"named", "unlike"} for batch in tried for t in batch)
+    assert max(24 * len({s for t in batch for s in ((t.left, t.left_columns), (t.right, t.right_columns))}) for batch in tried) <= 100
