@@ -44,13 +44,22 @@ def fingerprint(text: bytes, width: int) -> int:
     return majority(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in joined), np.uint64))
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that are set in over half the hashes; none: zero."""
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+    return counts
+
+
+def as_long(bits: np.ndarray) -> int:
+    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; none: zero."""
+    return as_long(2 * bit_counts(hashes) > len(hashes))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
